@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.llm.chat import digest_turns, format_conversations, read_back
 from spanveil.llm.exact_dedup import exact_dedup
+from spanveil.llm.langid import predict, train
+from spanveil.llm.minhash import near_duplicates
 from spanveil.llm.mixing import mix_sources
 from spanveil.llm.warc import archive_pages
 
@@ -17,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict(docs.select("doc_id", "text"), train(docs.filter(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,15 +45,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op5_chat": op5_chat,
     "op8_warc": op8_warc,
+    "op9_minhash": op9_minhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -67,6 +85,18 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length({_ESC.format("text")}) + 10)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op9_minhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM g),
+t AS (SELECT doc_id, unnest(s) AS t FROM g),
+r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY f, t) AS k FROM (SELECT *, count(*) OVER (PARTITION BY t) AS f FROM t)),
+x AS (SELECT r.doc_id, t, n FROM r JOIN n USING (doc_id) WHERE k <= n - (85 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+e AS (SELECT a, b FROM c JOIN t x ON x.doc_id = c.a JOIN t y ON y.doc_id = c.b AND y.t = x.t GROUP BY a, b, na, nb HAVING 100 * count(*) >= 85 * (na + nb - count(*))),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+p AS (SELECT doc_id AS v, doc_id AS m FROM n UNION SELECT u.b, p.m FROM p JOIN u ON u.a = p.v AND p.m < u.b)
+SELECT n.doc_id, n AS n_shingles, min(m) AS component_id, n.doc_id = min(m) AS kept FROM n JOIN p ON p.v = n.doc_id GROUP BY n.doc_id, n""",
     "op3_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || doc_id) AS h FROM documents),
 s AS (SELECT source, count(*) AS docs, sum(size)::BIGINT AS words FROM d GROUP BY source),
