@@ -11,6 +11,7 @@ from spanveil.llm.chat import digest_turns, format_conversations, read_back
 from spanveil.llm.decontaminate import decontaminate
 from spanveil.llm.exact_dedup import exact_dedup
 from spanveil.llm.langid import predict, train
+from spanveil.llm.licences import licence_report
 from spanveil.llm.minhash import near_duplicates
 from spanveil.llm.mixing import mix_sources
 from spanveil.llm.pii import KINDS, find_pii
@@ -60,6 +61,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_turns(read_back(format_conversations(log)))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_report(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive_pages(table(spark, sf_dir, "pages"))
     return read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_chat": op5_chat,
+    "op7_licences": op7_licences,
     "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_exact_dedup": op10_exact_dedup,
