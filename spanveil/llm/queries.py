@@ -15,6 +15,7 @@ from spanveil.llm.licences import licence_report
 from spanveil.llm.minhash import near_duplicates
 from spanveil.llm.mixing import mix_sources
 from spanveil.llm.pii import KINDS, find_pii
+from spanveil.llm.repeats import remove_repeats
 from spanveil.llm.warc import archive_pages
 
 
@@ -61,6 +62,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_turns(read_back(format_conversations(log)))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    left = F.length("kept").cast("long")
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_report(table(spark, sf_dir, "documents"))
 
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_chat": op5_chat,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_licences": op7_licences,
     "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
@@ -124,6 +132,16 @@ c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(rang
 m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id::VARCHAR)) AS s FROM h GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(array_to_string(s, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op6_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+m AS (SELECT s, min(doc_id) AS f, count(DISTINCT doc_id) AS c FROM w GROUP BY s HAVING c > 1),
+x AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 50 AS new FROM w JOIN m USING (s) WHERE doc_id > f),
+y AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM x),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM y GROUP BY doc_id, g),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM r),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
     "op9_minhash": r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
