@@ -21,26 +21,30 @@ def priority(klass: Column) -> Column:
     return out
 
 
-def match_starts(text: Column, pattern: str) -> Column:
+def _column(x: Column | str | int) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def match_starts(text: Column, pattern: Column | str) -> Column:
     """Starts of all leftmost non-overlapping matches: the lengths of what lies between and of the matches, summed.
 
     The pattern must not match the empty string and must have no group that changes what split sees."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
+    found = F.regexp_extract_all(text, _column(pattern), F.lit(0))
+    between = F.transform(F.split(text, _column(pattern), -1), lambda s: F.length(s))
     steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), F.length(m).alias("m")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(steps, empty, lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out")), lambda a: a["out"])
 
 
-def find_spans(text: Column, pattern: str, klass: str, rule_id: str, ordinal: int, group: int = 0, guard: str | None = None) -> Column:
+def find_spans(text: Column, pattern: Column | str, klass: Column | str, rule_id: Column | str, ordinal: Column | int, group: Column | int = 0, guard: str | None = None) -> Column:
     """Spans of the matches, or of a group: its first occurrence in the match. guard: a literal that every match holds; texts without it aren't scanned."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    whole = F.regexp_extract_all(text, _column(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, _column(pattern), _column(group))
     parts = F.arrays_zip(match_starts(text, pattern).alias("s"), whole.alias("m"), value.alias("v"))
 
     def span(p: Column) -> Column:
         start = p["s"] + F.instr(p["m"], p["v"]) - 1
-        return F.struct(start.cast("int").alias("start"), (start + F.length(p["v"])).cast("int").alias("end"), F.lit(klass).alias("class"), F.lit(rule_id).alias("rule_id"), F.lit(ordinal).alias("ordinal"))
+        return F.struct(start.cast("int").alias("start"), (start + F.length(p["v"])).cast("int").alias("end"), _column(klass).alias("class"), _column(rule_id).alias("rule_id"), _column(ordinal).alias("ordinal"))
 
     out = F.transform(F.filter(parts, lambda p: p["v"] != ""), span)
     return F.when(F.contains(text, F.lit(guard)), out).otherwise(no_spans()) if guard else out

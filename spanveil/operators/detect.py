@@ -1,4 +1,4 @@
-"""Detection: rules unrolled into one projection, so that a scan of the texts is narrow and needs no shuffle."""
+"""Detection: all rules in one projection, so that a scan of the texts is narrow and needs no shuffle."""
 
 from __future__ import annotations
 
@@ -48,10 +48,28 @@ def generic_ok(value: Column, least: float) -> Column:
     return ~checks.placeholder(value) & ~checks.odd_shape(value) & (checks.entropy(value) >= least)
 
 
+def guarded_spans(text: Column, rules: list[tuple[int, Rule]]) -> Column:
+    """Spans of the rules that have a guard, as one expression over an array of rules: a text is searched for
+    each guard, and only a rule whose guard it holds has its pattern compiled and run. The plan doesn't grow with the rules."""
+    table = F.array(*[
+        F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.klass).alias("class"), F.lit(r.rule_id).alias("rule_id"), F.lit(k).alias("ordinal"), F.lit(r.group).alias("group"), F.lit(r.guard).alias("guard"), F.lit(float(r.least_entropy)).alias("least"))
+        for k, r in rules
+    ])
+
+    def one(r: Column) -> Column:
+        spans = find_spans(text, r["pattern"], r["class"], r["rule_id"], r["ordinal"], r["group"])
+        return F.filter(spans, lambda s: (r["least"] == 0) | (checks.entropy(value_at(text, s)) >= r["least"]))
+
+    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(text, r["guard"])), one))
+
+
 def all_spans(text: Column, config: EngineConfig) -> Column:
     """Every rule's spans, without allowed values, not merged."""
-    parts = [rule_spans(text, r, k, config.generic_entropy) for k, r in enumerate(config.rules())]
-    spans = F.flatten(F.array(*parts)) if parts else no_spans()
+    rules = list(enumerate(config.rules()))
+    guarded = [(k, r) for k, r in rules if r.guard and not r.accept]
+    parts = [guarded_spans(text, guarded)] if guarded else []
+    parts += [rule_spans(text, r, k, config.generic_entropy) for k, r in rules if not r.guard or r.accept]
+    spans = F.concat(*parts) if parts else no_spans()
     if config.allow:
         allowed = F.array(*[F.lit(v) for v in config.allow])
         spans = F.filter(spans, lambda s: ~F.array_contains(allowed, value_at(text, s)))
