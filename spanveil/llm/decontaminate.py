@@ -25,12 +25,16 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.common import ascii_lower, stage
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words before A-Z are folded. Splitting is over twice as fast as extracting matches.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Stands after a document's last word, so that its position is the number of words; no word is like it.
+END = "\x00"
 BROADCAST_ROWS = 100_000
 
 
 def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words, not yet folded: folding word by word leaves all-ASCII ones to the fast path."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
 def _side(df: DataFrame, rows: int) -> DataFrame:
@@ -39,7 +43,7 @@ def _side(df: DataFrame, rows: int) -> DataFrame:
 
 def phrases_of(items: DataFrame, n: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """_item, _key (the words, joined by a space: no word holds one), _words."""
-    words = items.select(F.col(item_col).alias("_item"), word_list(F.col(text_col)).alias("_w")).filter(F.size("_w") > 0)
+    words = items.select(F.col(item_col).alias("_item"), word_list(ascii_lower(F.col(text_col))).alias("_w")).filter(F.size("_w") > 0)
     starts = words.withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1)))))
     cut = starts.select("_item", F.slice("_w", F.col("_at"), F.lit(n)).alias("_words"))
     return cut.select("_item", F.array_join("_words", " ").alias("_key"), "_words").distinct()
@@ -53,7 +57,7 @@ class PhraseIndex:
         self.phrase_items = stage(phrases_of(items, n, item_col, item_text), "decon-phrases")
         phrases = self.phrase_items.select("_key", "_words").distinct()
         self.rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-        tokens = self.rows.select(F.explode(word_list(F.col("_t"))).alias("_term"))
+        tokens = self.rows.select(F.explode(word_list(F.col("_t"))).alias("_raw")).select(ascii_lower(F.col("_raw")).alias("_term"))
 
         offsets = phrases.select("_key", F.posexplode("_words").alias("_off", "_term"))
         vocabulary = stage(offsets.select("_term").distinct(), "decon-terms")
@@ -71,11 +75,18 @@ class PhraseIndex:
         self.n_probes = self.probes.count()
         terms = self.probes.select("_term", F.lit(True).alias("_anchor")).unionByName(self.probes.select(F.col("_term2").alias("_term"), F.lit(False).alias("_anchor")))
         terms = terms.groupBy("_term").agg(F.max("_anchor").alias("_anchor"))
+        terms = terms.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("_term"), F.lit(False).alias("_anchor")))
         self.reach = n - 1 + slop
-        located = self.rows.select("_id", F.xxhash64("_t").alias("_h"), word_list(F.col("_t")).alias("_w")).select("_id", "_h", "_w", F.posexplode("_w").alias("_pos", "_term"))
+        listed = self.rows.select("_id", F.xxhash64("_t").alias("_h"), F.concat(word_list(F.col("_t")), F.array(F.lit(END))).alias("_w"))
+        located = listed.select("_id", "_h", "_w", F.posexplode("_w").alias("_pos", "_raw")).withColumn("_term", ascii_lower(F.col("_raw")))
         around = F.slice("_w", F.greatest(F.col("_pos") - self.reach, F.lit(0)) + 1, F.lit(2 * self.reach + 1))
         hits = located.join(_side(terms, self.n_probes * 2), "_term")
-        self.postings = stage(hits.select("_term", "_id", "_h", "_pos", F.when(F.col("_anchor"), around).alias("_around")), "decon-postings")
+        hits = hits.select("_term", "_id", "_h", "_pos", F.when(F.col("_anchor"), F.transform(around, ascii_lower)).alias("_around"))
+        self.postings = stage(hits, "decon-postings")
+
+    def documents(self) -> DataFrame:
+        """_id, _h, _n (words), a row for each row of docs."""
+        return self.postings.filter(F.col("_term") == END).select("_id", "_h", F.col("_pos").cast("long").alias("_n"))
 
     def _candidates(self) -> DataFrame:
         """Anchor postings moved to phrase starts; _lead words of _around come before the anchor."""
@@ -111,7 +122,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     of = index.phrase_items.select("_key", F.col("_item").cast("string").alias("_item"))
     named = hits.select(*doc, "_key").distinct().join(_side(of, index.phrase_items.count()), "_key").groupBy(*doc).agg(F.array_sort(F.collect_set("_item")).alias("_items"))
     found = covered.join(named, [covered["_id"].eqNullSafe(named["_id"]), covered["_h"] == named["_h"]]).select(covered["_id"].alias("_id"), covered["_h"].alias("_h"), "_hit", "_spans", "_items")
-    rows = index.rows.select("_id", F.xxhash64("_t").alias("_h"), F.coalesce(F.regexp_count(ascii_lower(F.col("_t")), F.lit(WORD)), F.lit(0)).cast("long").alias("_n"))
+    rows = index.documents()
     out = rows.join(found, [rows["_id"].eqNullSafe(found["_id"]), rows["_h"] == found["_h"]], "left")
     hit = F.coalesce("_hit", F.lit(0)).cast("long")
     return out.select(
