@@ -48,6 +48,8 @@ MOST_BUCKETS = 1 << 14
 #: Bits of an anchor hash that are sent besides the bucket.
 SENT_BITS = 40
 SEGMENT = 1 << 19
+#: Bytes of contexts that one suffix array is made of (more where a single anchor has more).
+SORT_BYTES = 1 << 20
 NULL_ID = 2**63 - 1
 
 
@@ -281,8 +283,11 @@ class RepeatRemover:
 
 
 def judge_contexts(blocks: list[bytes], length: int) -> tuple[list[int], np.ndarray]:
-    """The number of contexts in each block, and for each context a bit for each of its windows: set if a smaller id has it."""
-    hashes, ids, counts, raws, sizes = [], [], [], [], []
+    """The number of contexts in each block, and for each context a bit for each of its windows: set if a smaller id has it.
+
+    Hashes are made block by block and suffix arrays for SORT_BYTES of contexts at a time, so that besides
+    the contexts' own bytes a bucket needs little memory."""
+    hashes, ids, counts, raws, contents, sizes = [], [], [], [], [], []
     for block in blocks:
         flat = zstandard.ZstdDecompressor().decompress(block)
         n = int(np.frombuffer(flat, np.int64, 1)[0])
@@ -290,13 +295,12 @@ def judge_contexts(blocks: list[bytes], length: int) -> tuple[list[int], np.ndar
         ids.append(np.frombuffer(flat, np.int64, n, 8 + 8 * n))
         counts.append(np.frombuffer(flat, np.uint8, n, 8 + 16 * n))
         raws.append(np.frombuffer(flat, np.uint8, -1, 8 + 17 * n))
+        contents.append(_content(raws[-1], counts[-1], length))
         sizes.append(n)
-    h, doc, count, raw = (np.concatenate(x) for x in (hashes, ids, counts, raws))
+    h, doc, count, raw, content = (np.concatenate(x) for x in (hashes, ids, counts, raws, contents))
+    del hashes, ids, counts, raws, contents
     size = count.astype(np.int64) + length - 1
     start = np.cumsum(size) - size
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=total[1:])
-    content = mix64((total[start + size] - total[start]) * powers(_INVERSE, len(raw) + 1)[start]) + count.astype(U64)
     order = np.lexsort((doc, content, h))
     new_anchor = np.concatenate([[True], np.diff(h[order]) != 0])
     new = new_anchor | np.concatenate([[True], np.diff(content[order]) != 0])
@@ -308,20 +312,9 @@ def judge_contexts(blocks: list[bytes], length: int) -> tuple[list[int], np.ndar
     windows = np.repeat(best, count[head])
     at = np.concatenate([[0], np.cumsum(count[head].astype(np.int64))])
     mixed = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
-    if len(mixed):
-        span = size[head[mixed]]
-        place = np.cumsum(span + 1) - (span + 1)
-        text = np.zeros(int((span + 1).sum()), np.uint16)
-        inner = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
-        text[np.repeat(place, span) + inner] = raw[np.repeat(start[head[mixed]], span) + inner].astype(np.uint16) + 1
-        owner = np.repeat(np.arange(len(mixed)), span + 1)
-        reach = np.repeat(place + span, span + 1) - np.arange(len(text))
-        found, group = equal_windows(text, suffix_array(text, reach), reach, length)
-        of = owner[found]
-        least = np.full(int(group.max()) + 1, NULL_ID)
-        np.minimum.at(least, group, best[mixed[of]])
-        slot = at[mixed[of]] + found - place[of]
-        windows[slot] = np.minimum(windows[slot], least[group])
+    part = _parts(anchor[mixed], size[head[mixed]] + 1)
+    for a, b in zip(part[:-1], part[1:], strict=True):
+        _least_ids(windows, at, mixed[a:b], head, best, raw, start, size, length)
     masks = np.zeros(len(h), np.uint32)
     back = np.empty(len(h), np.int64)
     back[order] = context
@@ -332,6 +325,50 @@ def judge_contexts(blocks: list[bytes], length: int) -> tuple[list[int], np.ndar
     return sizes, masks
 
 
+def _content(raw: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each context's bytes, at most SORT_BYTES of them at a time."""
+    size = count.astype(np.int64) + length - 1
+    end = np.cumsum(size)
+    out = np.empty(len(size), U64)
+    row = 0
+    while row < len(size):
+        first = int(end[row] - size[row])
+        to = max(row + 1, int(np.searchsorted(end, first + SORT_BYTES, side="right")))
+        piece, e = raw[first : end[to - 1]], end[row:to] - first
+        total = np.zeros(len(piece) + 1, U64)
+        np.cumsum(_BYTE[piece] * powers(_BASE, len(piece)), out=total[1:])
+        b = e - size[row:to]
+        out[row:to] = mix64((total[e] - total[b]) * powers(_INVERSE, len(piece) + 1)[b]) + count[row:to].astype(U64)
+        row = to
+    return out
+
+
+def _parts(anchor: np.ndarray, size: np.ndarray) -> list[int]:
+    """Bounds of runs of whole anchors of about SORT_BYTES each."""
+    if not len(anchor):
+        return [0]
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(anchor) != 0]))
+    before = (np.cumsum(size) - size)[heads] // SORT_BYTES
+    return [*heads[np.concatenate([[True], np.diff(before) != 0])].tolist(), len(anchor)]
+
+
+def _least_ids(windows: np.ndarray, at: np.ndarray, mixed: np.ndarray, head: np.ndarray, best: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> None:
+    """Lowers windows to the smallest id among equal windows of the contexts mixed, by their suffix array."""
+    span = size[head[mixed]]
+    place = np.cumsum(span + 1) - (span + 1)
+    text = np.zeros(int((span + 1).sum()), np.uint16)
+    inner = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
+    text[np.repeat(place, span) + inner] = raw[np.repeat(start[head[mixed]], span) + inner].astype(np.uint16) + 1
+    owner = np.repeat(np.arange(len(mixed)), span + 1)
+    reach = np.repeat(place + span, span + 1) - np.arange(len(text))
+    found, group = equal_windows(text, suffix_array(text, reach), reach, length)
+    of = owner[found]
+    least = np.full(int(group.max()) + 1, NULL_ID)
+    np.minimum.at(least, group, best[mixed[of]])
+    slot = at[mixed[of]] + found - place[of]
+    windows[slot] = np.minimum(windows[slot], least[group])
+
+
 def removed_bytes(chunk: Chunk, length: int, buckets: int, chosen_of: object, masks: list[dict] | None, windows: list[dict] | None) -> np.ndarray:
     """Whether each byte of the chunk is removed."""
     anchors = Anchors(chunk, length)
