@@ -49,7 +49,7 @@ def rule_spans(source: str, rule: Rule, ordinal: int) -> str:
     """doc_id, start, end, class, rule_id, ordinal, value of one rule."""
     p = dialect(rule.pattern)
     lengths = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
-    return f"""SELECT doc_id, s AS "start", s + length(value) AS "end", {text_literal(rule.klass)} AS class, {text_literal(rule.rule_id)} AS rule_id, {ordinal} AS ordinal, value FROM (
+    return f"""SELECT doc_id, s AS "start", (s + length(value))::INTEGER AS "end", {text_literal(rule.klass)} AS class, {text_literal(rule.rule_id)} AS rule_id, {ordinal} AS ordinal, value FROM (
   SELECT doc_id, (({lengths("g[1:i]")} + {lengths("m[1:i - 1]")}) + instr(m[i], v[i]) - 1)::INTEGER AS s, v[i] AS value FROM (
     SELECT doc_id, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, {rule.group}) AS v, regexp_split_to_array(text, {p}) AS g FROM {source})))
 WHERE value <> '' AND {accepted(rule)}"""
@@ -182,7 +182,7 @@ SELECT {TOKEN_SQL} AS token, value, sha256(value) AS value_hash, rule_id, first_
     "vault_stats": f"SELECT count(*) AS entries, min(first_seen) AS created FROM {values('vault')}",
     "grep_lines": f"WITH {spliced(detected(GREP_SOURCE, q.FULL.rules(), q.FULL.allow), TOKEN_SQL, GREP_SOURCE)} SELECT doc_id // 1000000 AS doc_id, (doc_id % 1000000)::INTEGER AS line, output AS text FROM done",
     "grep_limit": f"SELECT doc_id, line, count(*) OVER () >= 5 AS truncated FROM (SELECT doc_id, line FROM {LINES} WHERE regexp_matches(text, '{q.GREP}') ORDER BY doc_id, line LIMIT 5)",
-    "line_split": f"SELECT doc_id, count(*) AS n_lines, max(length(text)) AS longest FROM {LINES} GROUP BY doc_id",
+    "line_split": f"SELECT doc_id, count(*) AS n_lines, max(length(text))::INTEGER AS longest FROM {LINES} GROUP BY doc_id",
     "line_numbers": f'WITH {valued(PII)} SELECT doc_id, "start", {LINE_NO} AS line FROM x',
     "rule_summary": f"WITH {valued(PII)}, n AS (SELECT doc_id, rule_id, {LINE_NO} AS line FROM x) SELECT doc_id, rule_id, count(*) AS count, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines FROM n GROUP BY doc_id, rule_id",
     "chunk_scan_dedup": f'WITH {merged(CHUNK_SPANS)} SELECT doc_id, "start"::INTEGER AS "start", "end"::INTEGER AS "end", rule_id FROM m',
