@@ -36,11 +36,8 @@ def escape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """Also breaks the bar that closes a role's mark."""
-    out = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-    for control, broken in CONTROLS.items():
-        out = F.replace(out, F.lit(control), F.lit(broken)) if control != "<|" else out
-    return out
+    """Also breaks what closes a role's mark."""
+    return F.replace(escape(role), F.lit("|>"), F.lit("|\\>"))
 
 
 def unescape(text: Column) -> Column:

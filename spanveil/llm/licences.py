@@ -97,7 +97,7 @@ LABELLED: dict[str, list[str]] = {
         "Distributed systems fail in general.",
     ],
 }
-RATE, ROUNDS, DECAY = 1.0, 400, 2e-3
+RATE, ROUNDS, DECAY = 1.0, 1500, 5e-4
 #: Calibrated probability from which a family is predicted, and agreement from which it is confirmed.
 LEAST, AGREE = 0.5, 0.7
 
