@@ -45,8 +45,9 @@ LENGTH = 50
 GRAM = 24
 BUCKET_BYTES = 24 << 20
 MOST_BUCKETS = 1 << 14
-#: Bits of an anchor hash that are sent besides the bucket.
-SENT_BITS = 40
+#: Bits of an anchor hash that are sent besides the bucket. A bucket holds about 2 M of them, so one in
+#: two thousand is taken for another, at every size of the input.
+SENT_BITS = 32
 SEGMENT = 1 << 19
 #: Bytes of contexts that one suffix array is made of (more where a single anchor has more).
 SORT_BYTES = 1 << 20
@@ -132,7 +133,12 @@ class Anchors:
         new = np.concatenate([[True], np.diff(same[order]) != 0]) if len(order) else np.zeros(0, bool)
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        return chosen[order[new]], which, ids
+        # In order of place, so that ids and overlapping bytes compress.
+        kept = chosen[order[new]]
+        by_place = np.argsort(kept)
+        rank = np.empty(len(kept), np.int64)
+        rank[by_place] = np.arange(len(kept))
+        return kept[by_place], rank[which], ids
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -197,16 +203,16 @@ class RepeatRemover:
                 for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
                     distinct, _, _ = Anchors(Chunk.unpack(data), length).sent(buckets)
                     own = (distinct >> U64(SENT_BITS)).astype(np.int64)
-                    five = distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SENT_BITS // 8]
+                    short = distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SENT_BITS // 8]
                     cut = np.searchsorted(own, np.arange(buckets + 1))
                     use = np.flatnonzero(np.diff(cut))
-                    yield _columns("bucket chunk data", pa.array(use, pa.int32()), pa.array([chunk] * len(use), pa.int64()), pa.array([five[cut[k] : cut[k + 1]].tobytes() for k in use], pa.binary()))
+                    yield _columns("bucket chunk data", pa.array(use, pa.int32()), pa.array([chunk] * len(use), pa.int64()), pa.array([short[cut[k] : cut[k + 1]].tobytes() for k in use], pa.binary()))
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bucket, ids, blocks in _by_bucket(batches):
-                five = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, SENT_BITS // 8)
-                value = np.zeros((len(five), 8), np.uint8)
-                value[:, : SENT_BITS // 8] = five
+                short = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, SENT_BITS // 8)
+                value = np.zeros((len(short), 8), np.uint8)
+                value[:, : SENT_BITS // 8] = short
                 value = value.view("<u8").ravel()
                 order = np.argsort(value, kind="stable")
                 equal = value[order[1:]] == value[order[:-1]]
@@ -248,7 +254,7 @@ class RepeatRemover:
                         size = anchors.count[of] + length - 1
                         at = np.repeat(anchors.first[of] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
                         use.append(k)
-                        blocks.append(_deflate(np.array([len(of)], np.int64), anchors.hash[of], anchors.chunk.ids[anchors.doc[of]], anchors.count[of].astype(np.uint8), anchors.chunk.raw[at]))
+                        blocks.append(_deflate(np.array([len(of)], np.int64), (anchors.hash[of] >> U64(32)).astype(np.uint32), anchors.chunk.ids[anchors.doc[of]], anchors.count[of].astype(np.uint8), anchors.chunk.raw[at]))
                     yield _columns("bucket chunk data", pa.array(use, pa.int32()), pa.array([chunk] * len(use), pa.int64()), pa.array(blocks, pa.binary()))
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,16 +291,16 @@ class RepeatRemover:
 def judge_contexts(blocks: list[bytes], length: int) -> tuple[list[int], np.ndarray]:
     """The number of contexts in each block, and for each context a bit for each of its windows: set if a smaller id has it.
 
-    Hashes are made block by block and suffix arrays for SORT_BYTES of contexts at a time, so that besides
+    Anchors come as 32 bits of their hashes; two that agree are sorted together, which changes nothing. Hashes are made block by block and suffix arrays for SORT_BYTES of contexts at a time, so that besides
     the contexts' own bytes a bucket needs little memory."""
     hashes, ids, counts, raws, contents, sizes = [], [], [], [], [], []
     for block in blocks:
         flat = zstandard.ZstdDecompressor().decompress(block)
         n = int(np.frombuffer(flat, np.int64, 1)[0])
-        hashes.append(np.frombuffer(flat, U64, n, 8))
-        ids.append(np.frombuffer(flat, np.int64, n, 8 + 8 * n))
-        counts.append(np.frombuffer(flat, np.uint8, n, 8 + 16 * n))
-        raws.append(np.frombuffer(flat, np.uint8, -1, 8 + 17 * n))
+        hashes.append(np.frombuffer(flat, np.uint32, n, 8))
+        ids.append(np.frombuffer(flat, np.int64, n, 8 + 4 * n))
+        counts.append(np.frombuffer(flat, np.uint8, n, 8 + 12 * n))
+        raws.append(np.frombuffer(flat, np.uint8, -1, 8 + 13 * n))
         contents.append(_content(raws[-1], counts[-1], length))
         sizes.append(n)
     h, doc, count, raw, content = (np.concatenate(x) for x in (hashes, ids, counts, raws, contents))
