@@ -81,7 +81,8 @@ class PhraseIndex:
         located = listed.select("_id", "_h", "_w", F.posexplode("_w").alias("_pos", "_raw")).withColumn("_term", ascii_lower(F.col("_raw")))
         around = F.slice("_w", F.greatest(F.col("_pos") - self.reach, F.lit(0)) + 1, F.lit(2 * self.reach + 1))
         hits = located.join(_side(terms, self.n_probes * 2), "_term")
-        hits = hits.select("_term", "_id", "_h", "_pos", F.when(F.col("_anchor"), F.transform(around, ascii_lower)).alias("_around"))
+        # A string, joined and folded by generated code: with a higher-order function here, each row would be copied with its document's word list.
+        hits = hits.select("_term", "_id", "_h", "_pos", F.when(F.col("_anchor"), ascii_lower(F.array_join(around, " "))).alias("_around"))
         self.postings = stage(hits, "decon-postings")
 
     def documents(self) -> DataFrame:
@@ -91,6 +92,7 @@ class PhraseIndex:
     def _candidates(self) -> DataFrame:
         """Anchor postings moved to phrase starts; _lead words of _around come before the anchor."""
         anchors = self.postings.filter("_around is not null").join(_side(self.probes, self.n_probes), "_term")
+        anchors = anchors.withColumn("_around", F.split("_around", " "))
         return anchors.withColumn("_start", F.col("_pos") - F.col("_off")).withColumn("_lead", F.least(F.col("_pos"), F.lit(self.reach)))
 
     def exact(self) -> DataFrame:
