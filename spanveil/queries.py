@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +16,7 @@ from spanveil.operators.detect import EngineConfig
 from spanveil.operators.rules import PII_RULES, SECRET_RULES, Rule
 from spanveil.plans.policy import merge_policy
 from spanveil.sources import corpus, files
+from spanveil.sources.tables import shared_path, written
 from spanveil.streaming import flows
 
 ACTIONS = merge_policy(None)["actions"]
@@ -126,16 +126,15 @@ def token_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Redact all documents, mint, restore: every text must come back."""
-    found = detect.detect(docs(spark, sf), PII)
-    spans = detect.explode_spans(found)
-    store = vault.mint(spans.select("value", "rule_id", F.struct("doc_id", "start").alias("seen"))).withColumn("slug", F.lit(""))
-    # A value has one token, whatever rule saw it first: tokens are looked up by value.
-    out = redact.process_text(found, ACTIONS)
-    named = store.select(tokens.token_id(F.col("value"), F.lit("")).alias("_id"), "value")
-    text = out.select("doc_id", F.col("output").alias("text"))
-    parsed = text.select("doc_id", F.explode(tokens.parse_tokens(F.col("text"))).alias("k")).select(F.col("k.raw").alias("token"), F.col("k.id").alias("_id")).distinct()
-    back = vault.restore(text, parsed.join(named, "_id").select("token", "value"))
+    """Redact all documents, mint, restore: every text must come back. Ingress and egress meet only in written tables."""
+    acted = written(redact.process_text(detect.detect(docs(spark, sf), PII), ACTIONS).select("doc_id", "text", "spans", "output"), "redacted")
+    spans = detect.explode_spans(acted)
+    store = vault.mint(spans.select("value", "rule_id", F.struct("doc_id", "start").alias("seen")))
+    # A value has one id, but a token names the rule that found it there: tokens are looked up by id.
+    ids = store.select(tokens.token_id(F.col("value"), F.lit("")).alias("id"), "value")
+    text = acted.select("doc_id", F.col("output").alias("text"))
+    seen = text.select(F.explode(tokens.parse_tokens(F.col("text"))).alias("k")).select(F.col("k.raw").alias("token"), F.col("k.id").alias("id")).distinct()
+    back = vault.restore(text, seen.join(ids, "id").select("token", "value"))
     return back.select("doc_id", F.sha2("output", 256).alias("restored_sha256"))
 
 
@@ -326,15 +325,11 @@ def corpus_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def streaming_redact(spark: SparkSession, sf: str) -> DataFrame:
     """documents as a stream of files through the same functions."""
-    import os
-    import uuid
-
     from pyspark.sql.types import StructType
 
     schema: StructType = spark.read.parquet(f"{sf}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanveil-")
-    path = os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    path = shared_path(spark, "stream")
     query = flows.redact_stream(stream, ACTIONS, PII).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{path}/out")
