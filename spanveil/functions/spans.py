@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,class:string,rule_id:string,ordinal:int>"
@@ -39,7 +39,7 @@ def match_starts(text: Column, pattern: Column | str) -> Column:
 def find_spans(text: Column, pattern: Column | str, klass: Column | str, rule_id: Column | str, ordinal: Column | int, group: Column | int = 0, guard: str | None = None) -> Column:
     """Spans of the matches, or of a group: its first occurrence in the match. guard: a literal that every match holds; texts without it aren't scanned."""
     whole = F.regexp_extract_all(text, _column(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, _column(pattern), _column(group))
+    value = whole if isinstance(group, int) and group == 0 else F.regexp_extract_all(text, _column(pattern), _column(group))
     parts = F.arrays_zip(match_starts(text, pattern).alias("s"), whole.alias("m"), value.alias("v"))
 
     def span(p: Column) -> Column:
@@ -47,7 +47,9 @@ def find_spans(text: Column, pattern: Column | str, klass: Column | str, rule_id
         return F.struct(start.cast("int").alias("start"), (start + F.length(p["v"])).cast("int").alias("end"), _column(klass).alias("class"), _column(rule_id).alias("rule_id"), _column(ordinal).alias("ordinal"))
 
     out = F.transform(F.filter(parts, lambda p: p["v"] != ""), span)
-    return F.when(F.contains(text, F.lit(guard)), out).otherwise(no_spans()) if guard else out
+    # One search decides whether a text has any match: most have none, and offsets take several passes.
+    worth = text.rlike(pattern) if isinstance(pattern, str) else F.lit(True)
+    return F.when((F.contains(text, F.lit(guard)) & worth) if guard else worth, out).otherwise(no_spans())
 
 
 def value_at(text: Column, span: Column) -> Column:
@@ -84,3 +86,11 @@ def line_number(text: Column, start: Column) -> Column:
     """1 and the newlines before start."""
     before = F.substring(text, F.lit(1), start)
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def explode_rows(rows: DataFrame, array: Column | str, name: str, *keep: str | Column) -> DataFrame:
+    """keep and a row for each element of array.
+
+    As an outer explode without its null rows: a plain one makes the optimizer test the array's size below,
+    with a copy of all that the array is computed from for every reference to it."""
+    return rows.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import line_number, merge_spans
+from spanveil.functions.spans import explode_rows, line_number, merge_spans
 from spanveil.operators.detect import EngineConfig, detect
 
 
@@ -21,7 +21,7 @@ def chunk_texts(docs: DataFrame, chunk: int, overlap: int, id_col: str = "doc_id
 def scan_chunks(docs: DataFrame, chunk: int, overlap: int, config: EngineConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, spans over the whole text. Spans longer than the overlap are left out."""
     found = detect(chunk_texts(docs, chunk, overlap, id_col, text_col), config)
-    spans = found.select(id_col, "chunk_start", F.explode("spans").alias("s"))
+    spans = explode_rows(found, "spans", "s", id_col, "chunk_start")
     moved = spans.filter(F.col("s.end") - F.col("s.start") <= overlap).select(
         id_col, (F.col("s.start") + F.col("chunk_start")).alias("start"), (F.col("s.end") + F.col("chunk_start")).alias("end"), F.col("s.class").alias("class"), F.col("s.rule_id").alias("rule_id"), F.col("s.ordinal").alias("ordinal")
     )
@@ -31,5 +31,5 @@ def scan_chunks(docs: DataFrame, chunk: int, overlap: int, config: EngineConfig
 
 def with_lines(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, end, rule_id, line."""
-    rows = docs.select(id_col, text_col).join(spans, id_col).select(id_col, text_col, F.explode("spans").alias("s"))
+    rows = explode_rows(docs.select(id_col, text_col).join(spans, id_col), "spans", "s", id_col, text_col)
     return rows.select(id_col, F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.rule_id").alias("rule_id"), line_number(F.col(text_col), F.col("s.start")).alias("line"))

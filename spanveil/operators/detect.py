@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import checks
-from spanveil.functions.spans import find_spans, merge_spans, no_spans, value_at
+from spanveil.functions.spans import explode_rows, find_spans, merge_spans, no_spans, value_at
 from spanveil.operators.rules import ACCEPT, PII_RULES, SECRET_RULES, Rule, env_key_pattern, host_pattern
 
 
@@ -97,7 +97,7 @@ def ner_spans(entities: Column, ordinal: int = 10_000) -> Column:
 
 def explode_spans(detected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a span: id, start, end, class, rule_id, value."""
-    rows = detected.select(id_col, text_col, F.explode("spans").alias("s"))
+    rows = explode_rows(detected, "spans", "s", id_col, text_col)
     return rows.select(id_col, F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.class").alias("class"), F.col("s.rule_id").alias("rule_id"), value_at(F.col(text_col), F.col("s")).alias("value"))
 
 

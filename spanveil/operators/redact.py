@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import splice, value_at
+from spanveil.functions.spans import explode_rows, splice, value_at
 from spanveil.functions.tokens import format_token, slug, token_id, value_hash
 
 REDACTED = "[REDACTED]"
@@ -63,7 +63,7 @@ def redact_constant(text: Column, spans: Column, constant: str = REDACTED) -> Co
 
 def audit_rows(acted: DataFrame, id_col: str = "doc_id", tool: str = "read") -> DataFrame:
     """A row without a value for each span that was acted on; allowed ones leave none."""
-    rows = acted.select(id_col, F.explode("acted").alias("s")).filter("s.action <> 'allow'")
+    rows = explode_rows(acted, "acted", "s", id_col).filter("s.action <> 'allow'")
     return rows.select(
         F.col("s.rule_id").alias("ruleId"), F.lit(tool).alias("tool"), F.col("s.action").alias("action"), F.col("s.token").alias("tokenRef"), F.substring("s.value_hash", 1, 12).alias("valueHash"),
         F.create_map(F.lit("doc"), F.col(id_col).cast("string"), F.lit("start"), F.col("s.start").cast("string")).alias("context"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import line_number
+from spanveil.functions.spans import explode_rows, line_number
 from spanveil.operators.detect import EngineConfig, detect
 from spanveil.operators.redact import output_text, with_actions
 
@@ -33,6 +33,6 @@ def first_matches(matches: DataFrame, most: int, id_col: str = "doc_id") -> Data
 
 def rule_summary(acted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, rule_id, class, count, lines, tokens: of what was acted on, up to the first block."""
-    rows = acted.select(id_col, text_col, F.explode("acted").alias("s")).filter("s.action not in ('allow', 'block')")
+    rows = explode_rows(acted, "acted", "s", id_col, text_col).filter("s.action not in ('allow', 'block')")
     rows = rows.select(id_col, F.col("s.rule_id").alias("rule_id"), F.col("s.class").alias("class"), F.col("s.token").alias("token"), line_number(F.col(text_col), F.col("s.start")).alias("line"))
     return rows.groupBy(id_col, "rule_id", "class").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("line")).alias("lines"), F.sort_array(F.collect_set("token")).alias("tokens"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import splice
+from spanveil.functions.spans import explode_rows, splice
 from spanveil.functions.tokens import format_token, is_token, parse_tokens, slug, token_id, value_hash
 
 
@@ -35,7 +35,7 @@ def restore(texts: DataFrame, vault: DataFrame, id_col: str = "doc_id", text_col
     # Filters look at the text itself: a filter on the parsed tokens would be pushed below, with its expression copied.
     given = texts.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     plain = given.filter(~is_token(F.col("_t"))).select(id_col, F.col("_t").alias("output"), F.array().cast("array<string>").alias("missing"), F.lit(0).cast("long").alias("n_tokens"))
-    rows = given.filter(is_token(F.col("_t"))).select(id_col, "_t", F.explode(parse_tokens(F.col("_t"))).alias("k")).select(id_col, "_t", F.col("k.raw").alias("raw"), F.col("k.start").alias("start"), F.col("k.end").alias("end"))
+    rows = explode_rows(given.filter(is_token(F.col("_t"))), parse_tokens(F.col("_t")), "k", id_col, "_t").select(id_col, "_t", F.col("k.raw").alias("raw"), F.col("k.start").alias("start"), F.col("k.end").alias("end"))
     found = resolve(rows, vault)
     spans = F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("value", "raw").alias("v"))))
     lost = F.array_sort(F.collect_set(F.when(F.col("value").isNull(), F.col("raw"))))

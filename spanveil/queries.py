@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanveil import fixtures as fx
 from spanveil.functions import checks, tokens
-from spanveil.functions.spans import line_number, merge_spans
+from spanveil.functions.spans import explode_rows, line_number, merge_spans
 from spanveil.operators import audit, chunks, commands, detect, redact, scoring, search, vault
 from spanveil.operators.detect import EngineConfig
 from spanveil.operators.rules import PII_RULES, SECRET_RULES, Rule
@@ -60,7 +60,7 @@ def entropy_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.frame(spark, "spans").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "class", "rule_id", "ordinal")).alias("s"))
-    out = rows.select("doc_id", F.explode(merge_spans(F.col("s"))).alias("k"))
+    out = explode_rows(rows, merge_spans(F.col("s")), "k", "doc_id")
     return out.select("doc_id", F.col("k.start").alias("start"), F.col("k.end").alias("end"), F.col("k.class").alias("class"), F.col("k.rule_id").alias("rule_id"))
 
 
@@ -171,7 +171,7 @@ def line_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = detect.detect(docs(spark, sf), PII).select("doc_id", "text", F.explode("spans").alias("s"))
+    rows = explode_rows(detect.detect(docs(spark, sf), PII), "spans", "s", "doc_id", "text")
     return rows.select("doc_id", F.col("s.start").alias("start"), line_number(F.col("text"), F.col("s.start")).alias("line"))
 
 
@@ -182,7 +182,7 @@ def rule_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = chunks.scan_chunks(docs(spark, sf), 4096, 128, PII)
-    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.rule_id").alias("rule_id"))
+    return explode_rows(found, "spans", "s", "doc_id").select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.rule_id").alias("rule_id"))
 
 
 def allow_anti(spark: SparkSession, sf: str) -> DataFrame:
@@ -289,7 +289,7 @@ def report_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 def ner_merge(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.frame(spark, "entities").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "entity_type")).alias("e"))
-    out = rows.select("doc_id", F.explode(merge_spans(detect.ner_spans(F.col("e")))).alias("s"))
+    out = explode_rows(rows, merge_spans(detect.ner_spans(F.col("e"))), "s", "doc_id")
     return out.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.class").alias("class"), F.col("s.rule_id").alias("rule_id"))
 
 
