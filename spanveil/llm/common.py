@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Bits of an id filter: 2**25 bits are 1024 bitmaps of 4 KB, so its broadcast never exceeds 4 MB.
 #: Beyond about 10 M members it lets more rows pass to the exact join behind it; it never drops one.
 FILTER_BITS = 1 << 25
+#: Most rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 #: A key with more than 1/HOT_SHARE of all rows is hot, so fewer than HOT_SHARE keys can be.
 HOT_SHARE = 512
 #: Parts that a hot key is split in.
@@ -38,6 +40,13 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES: a batch of texts is held by the JVM, off its heap and by Python at once."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(rows, str(min(BATCH_ROWS, int(spark.conf.get(rows, "10000"))) if int(spark.conf.get(rows, "10000")) > 0 else BATCH_ROWS))
+    spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only; pure ASCII text takes the fast native path."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

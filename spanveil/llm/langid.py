@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.llm.common import bounded_batches
 from spanveil.llm.textnum import U64, chunks, code_points, fold_letters, mix64, text_bytes
 
 BUCKETS = 1 << 15
@@ -82,6 +83,7 @@ class LanguageModel:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fits the model on about `rows` rows of labelled at most."""
+    bounded_batches(labelled.sparkSession)
     usable = labelled.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).filter("_t is not null and _l is not null")
     n = usable.select("_id").count()
     if n > rows:
@@ -117,6 +119,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each of docs: id_col, lang_pred, score."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 

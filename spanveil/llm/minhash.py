@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import join_hot, stage, with_filter
+from spanveil.llm.common import bounded_batches, join_hot, stage, with_filter
 from spanveil.llm.graph import components
 from spanveil.llm.textnum import U64, chunks, mix64, text_bytes, word_hashes, words
 
@@ -206,6 +206,7 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each of docs: id_col, n_shingles, component_id, kept, n_links (of the forest, for its class)."""
+    bounded_batches(docs.sparkSession)
     signed = stage(sign(docs, id_col, text_col), "minhash")
     classes = signed.filter("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"))
     classes = stage(classes, "minhash-classes")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.llm.common import bounded_batches
 from spanveil.llm.textnum import U64, chunks, code_points, mix64, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -331,6 +332,7 @@ def crf_spans(model: Crf, points: np.ndarray, first: np.ndarray, margin: float =
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Crf | None = None) -> DataFrame:
     """One row for each of docs: id_col, base and spans: arrays of struct(kind, start, end) by kind, then start."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model or train(labelled_lines())).small())
     kind_of = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import stage
+from spanveil.llm.common import bounded_batches, stage
 from spanveil.llm.suffix import equal_windows, suffix_array
 from spanveil.llm.textnum import _BASE, _BYTE, _INVERSE, U64, chunks, mix64, powers, text_bytes
 
@@ -180,6 +180,7 @@ class RepeatRemover:
     SCHEMA = "bucket int, chunk long, data binary"
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, length: int) -> None:
+        bounded_batches(docs.sparkSession)
         self.length = length
         rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
         self.chunks = stage(rows.mapInArrow(_to_chunks, "chunk long, data binary, size long"), "repeats-chunks", compression="none")

@@ -30,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import fresh_path, join_hot, shared_dir, stage
+from spanveil.llm.common import bounded_batches, fresh_path, join_hot, shared_dir, stage
 
 LEAST_BYTES = 100
 #: An archive is closed beyond so many compressed bytes.
@@ -198,6 +198,7 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
     """Writes pages and reads them back: see read_archives."""
+    bounded_batches(pages.sparkSession)
     folder = fresh_path(pages.sparkSession, "warc")
     assert folder.startswith(shared_dir(pages.sparkSession))
     return read_archives(write_archives(record_types(pages, id_col, html_col, url_col, least), folder))
