@@ -36,7 +36,9 @@ class EngineConfig:
 def rule_spans(text: Column, rule: Rule, ordinal: int, generic_entropy: float = 2.7) -> Column:
     spans = find_spans(text, rule.pattern, rule.klass, rule.rule_id, ordinal, rule.group, rule.guard)
     if rule.accept == "generic":
-        return F.filter(spans, lambda s: generic_ok(value_at(text, s), generic_entropy))
+        # Every match holds one of the two signs.
+        worth = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+        return F.when(worth, F.filter(spans, lambda s: generic_ok(value_at(text, s), generic_entropy))).otherwise(no_spans())
     if rule.accept:
         return F.filter(spans, lambda s: ACCEPT[rule.accept](value_at(text, s)))
     if rule.least_entropy:
@@ -66,9 +68,11 @@ def guarded_spans(text: Column, rules: list[tuple[int, Rule]]) -> Column:
 def all_spans(text: Column, config: EngineConfig) -> Column:
     """Every rule's spans, without allowed values, not merged."""
     rules = list(enumerate(config.rules()))
-    guarded = [(k, r) for k, r in rules if r.guard and not r.accept]
+    # A guard of one character rules little out: those rules are written out, so that their patterns are compiled once.
+    guarded = [(k, r) for k, r in rules if r.guard and len(r.guard) > 1 and not r.accept]
     parts = [guarded_spans(text, guarded)] if guarded else []
-    parts += [rule_spans(text, r, k, config.generic_entropy) for k, r in rules if not r.guard or r.accept]
+    held = {k for k, _ in guarded}
+    parts += [rule_spans(text, r, k, config.generic_entropy) for k, r in rules if k not in held]
     spans = F.concat(*parts) if parts else no_spans()
     if config.allow:
         allowed = F.array(*[F.lit(v) for v in config.allow])
