@@ -21,6 +21,8 @@ from spanveil.llm.mixing import mix_sources
 
 #: A document whose language is undetermined, or less probable than this, goes.
 LEAST_SCORE = 0.5
+#: Near duplicates share at least so many hundredths of their 5-word shingles.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the one with the smallest id stays."""
-    found = stage(near_duplicates(docs).filter("not kept").select("doc_id"), "pipeline-near")
+    found = stage(near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept").select("doc_id"), "pipeline-near")
     return drop_ids(docs, found, "doc_id")
 
 

@@ -4,7 +4,8 @@ Signatures: a shingle's hash falls in one of UNIVERSE bins; a first permutation
 second, shifted circularly by k, gives its value for coordinate k. So the values of one shingle for all
 coordinates are one contiguous run of the second permutation, and a signature is the minimum of such
 runs. BANDS bands of ROWS coordinates: a pair at the threshold 0.85 escapes all bands with a
-probability of 2e-8, and one at 0.95 with less than 1e-19.
+probability of 2e-8, and one at 0.95 with less than 1e-19. Below 0.85, MOST_BANDS are taken: a pair at
+0.80 escapes them with a probability of 2e-8, too.
 
 Documents with equal shingle sets are one class (by a 128-bit digest of the set) with its smallest id
 as representative; only representatives are banded. Buckets link representatives to the bucket's
@@ -34,8 +35,9 @@ from spanveil.llm.textnum import U64, chunks, mix64, text_bytes, word_hashes, wo
 
 SHINGLE = 5
 BANDS, ROWS = 56, 8
+MOST_BANDS = 96
 UNIVERSE = 1 << 20
-#: Similarity in hundredths at and above which two documents are linked.
+#: Similarity in hundredths at and above which two documents are linked, where no other is given.
 PERCENT = 85
 #: A group's tile holds about so many shingles (8 bytes each).
 TILE_SHINGLES = 1 << 20
@@ -50,9 +52,9 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
     if not _made:
         rng = np.random.Generator(np.random.PCG64(SEED))
         first, second = rng.permutation(UNIVERSE).astype(np.int32), rng.permutation(UNIVERSE).astype(np.uint32)
-        around = np.concatenate([second, second[: BANDS * ROWS]])
+        around = np.concatenate([second, second[: MOST_BANDS * ROWS]])
         _made["first"] = first
-        _made["second"] = np.lib.stride_tricks.as_strided(around, (UNIVERSE, BANDS * ROWS), (4, 4), writeable=False)
+        _made["second"] = np.lib.stride_tricks.as_strided(around, (UNIVERSE, MOST_BANDS * ROWS), (4, 4), writeable=False)
         _made["mix"] = rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * U64(2) + U64(1)
     return _made["first"], _made["second"]
 
@@ -79,8 +81,13 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.zeros(0, U64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    return BANDS if percent >= PERCENT else MOST_BANDS
+
+
+def signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
     first, second = permutations()
+    second = second[:, : bands * ROWS]
     at = first[(shingles & U64(UNIVERSE - 1)).astype(np.int64)]
     best = second[at[:512]].min(axis=0)
     for k in range(512, len(at), 512):
@@ -90,8 +97,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key a band; the band's number is part of it."""
-    rows = sig.reshape(BANDS, ROWS).astype(U64)
-    return mix64((rows * _made["mix"]).sum(axis=1) + np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    rows = sig.reshape(-1, ROWS).astype(U64)
+    return mix64((rows * _made["mix"]).sum(axis=1) + np.arange(1, len(rows) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def set_digest(shingles: np.ndarray) -> bytes:
@@ -99,7 +106,7 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return int(a.sum()).to_bytes(8, "big") + int(np.bitwise_xor.reduce(b)).to_bytes(8, "big") + len(shingles).to_bytes(4, "big")
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sign(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS) -> DataFrame:
     """_id, _n (shingles), _set (digest; null if none), _bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +116,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in shingle_sets(batch.column("_t")):
                 n.append(len(s))
                 sets.append(set_digest(s) if len(s) else None)
-                bands.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
+                bands.append(band_keys(signature(s, n_bands)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "_n", "_set", "_bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
@@ -174,13 +181,13 @@ def link(sets: list[np.ndarray], percent: int = PERCENT, side: list[int] | None
     return found
 
 
-def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows _group, _i, _j, _tile, _id, _s sorted by group and tiles: links of each group."""
     key, ids, sets, tiles = None, [], [], []
 
     def done() -> pa.RecordBatch:
         cross = key is not None and key[1] != key[2]
-        pairs = link(sets, side=tiles if cross else None) if len(sets) > 1 else []
+        pairs = link(sets, percent, tiles if cross else None) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in pairs], pa.int64()), pa.array([ids[y] for _, y in pairs], pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -204,10 +211,12 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     return components(keys.join(least, "_key").filter("_id <> _first").select(F.col("_id").alias("a"), F.col("_first").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each of docs: id_col, n_shingles, component_id, kept, n_links (of the forest, for its class)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row for each of docs: id_col, n_shingles, component_id, kept, n_links (of the forest, for its class).
+
+    percent: similarity in hundredths at and above which two documents are linked, 80 or more."""
     bounded_batches(docs.sparkSession)
-    signed = stage(sign(docs, id_col, text_col), "minhash")
+    signed = stage(sign(docs, id_col, text_col, bands_for(percent)), "minhash")
     classes = signed.filter("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"))
     classes = stage(classes, "minhash-classes")
     reps = signed.select("_id", "_n", "_set", "_bands").join(classes.select("_set", F.col("_rep").alias("_id")), ["_set", "_id"]).dropDuplicates(["_id", "_set"])
@@ -231,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets.select("_id", "_group", F.least("_tile", "_k").alias("_i"), F.greatest("_tile", "_k").alias("_j"), "_tile", "_s")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = sets.repartition(n, "_group", "_i", "_j").sortWithinPartitions("_group", "_i", "_j", "_id")
-    links = stage(grouped.mapInArrow(_link_groups, "a long, b long"), "minhash-links")
+    links = stage(grouped.mapInArrow(lambda batches: _link_groups(batches, percent), "a long, b long"), "minhash-links")
     roots = components(links)
 
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("_links"))
