@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal blocks. Native DataFrame code only.
 
 A source's documents are dealt to shards by a seeded hash and laid end to end in seeded order; a block
-is the next `block` words of a shard. A shard's share of its source's target is its vote, and every
+is the next `block` words of a shard, as many in all shards of a source. A shard's share of its source's target is its vote, and every
 quotient vote / (2 s + 1) of at least block / 2 wins a seat. Those are the highest quotients of all
 shards, so the seats are Sainte-Laguë's for a house of as many seats, without ranking them in one
 place. A shard with q seats and b blocks takes every block q div b times, and q mod b of them once
@@ -28,6 +28,9 @@ SHARD_DOCS = 512
 #: The mix is cut into about so many blocks, of MOST_WORDS at most.
 BLOCKS = 1 << 20
 MOST_WORDS = 1024
+#: A source's blocks are so short that its shards hold and take about so many at least, down to blocks of
+#: one word: what rounding and a shard's short last block cost is then less than 1/300 of a target.
+LEAST_BLOCKS = 512
 #: Up to so many sources, their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -67,25 +70,25 @@ def mix_sources(
     sources = source_targets(sized.groupBy("_source").agg(F.count("*").alias("_docs"), F.sum("_size").alias("_words")), weights, cap)
     sources = stage(sources, "mix-sources")
     n, total = sources.agg(F.count("*"), F.coalesce(F.sum("_words"), F.lit(0))).first()
-    block = F.lit(max(1, min(MOST_WORDS, total // BLOCKS)))
+    most = F.lit(max(1, min(MOST_WORDS, total // BLOCKS)))
 
     side = F.broadcast(sources) if n <= BROADCAST_SOURCES else sources
     placed = sized.alias("d").join(side.alias("s"), F.col("d._source").eqNullSafe(F.col("s._source"))).drop(F.col("s._source"))
     shards = F.ceil(F.col("_docs") / SHARD_DOCS)
-    placed = placed.withColumn("_shard", F.pmod(_hash_number(F.col("_h"), 1), shards))
+    block = F.greatest(F.lit(1), F.least(most, F.floor(F.least("_words", "_target") / (shards * LEAST_BLOCKS)))).cast("long")
+    placed = placed.withColumn("_shard", F.pmod(_hash_number(F.col("_h"), 1), shards)).withColumn("_b", block)
     shard = Window.partitionBy("_source", "_shard")
     order = shard.orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_to", F.sum("_size").over(order)).withColumn("_len", F.sum("_size").over(shard)).withColumn("_start", F.min("_h").over(shard))
     c = F.col
     placed = (
         placed.withColumn("_from", c("_to") - c("_size"))
-        .withColumn("_blocks", F.greatest(F.lit(1), F.ceil(c("_len") / block)))
+        .withColumn("_blocks", F.greatest(F.lit(1), F.ceil(c("_len") / c("_b"))))
         .withColumn("_vote", F.when(c("_words") > 0, c("_target") * c("_len") / c("_words")).otherwise(0.0))
-        .withColumn("_quota", F.least(F.floor(c("_vote") / block + F.lit(0.5)), c("_blocks") * cap))
+        .withColumn("_quota", F.least(F.floor(c("_vote") / c("_b") + F.lit(0.5)), c("_blocks") * cap))
         .withColumn("_whole", F.expr("_quota div _blocks"))
         .withColumn("_rest", F.expr("_quota % _blocks"))
         .withColumn("_offset", F.pmod(_hash_number(c("_start"), 9), c("_blocks")))
-        .withColumn("_b", block.cast("long"))
         .withColumn("_b0", F.expr("_from div _b"))
         .withColumn("_b1", F.expr("(_to - 1) div _b"))
     )

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanveil.llm import chat, common, licences, minhash, pii, queries, suffix, textnum, warc
+from spanveil.llm import chat, common, licences, minhash, mixing, pii, queries, suffix, textnum, warc
 from spanveil.llm.decontaminate import PhraseIndex, decontaminate
 from spanveil.llm.exact_dedup import MergeIndex, exact_dedup
 from spanveil.llm.graph import components
@@ -356,3 +356,16 @@ def test_pipeline_near_dedup_links_from_80_percent(spark):
     got = {r.doc_id for r in corpus_pipeline.near(spark, frame(spark, texts), SF).collect()}
     assert got == {3 * k + j for k in range(20) for j in (1, 3)}
     assert minhash.near_duplicates(frame(spark, texts)).filter("kept").count() == 60
+
+
+def test_mixing_meets_targets_of_small_sources_beside_a_huge_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 64)
+    parts = {"b150": [150], "c300": [100] * 3, "d700": [7] * 100, "e2100": [700] * 3, "f1": [1], "g0": [0], "huge": [2000] * 100, "short": [1, 2, 3] * 500}
+    rows = [(s, " ".join(["w"] * n)) for s, sizes in parts.items() for n in sizes]
+    got = defaultdict(int)
+    target = {}
+    for r in mix_sources(frame(spark, [t for _, t in rows], [s for s, _ in rows])).collect():
+        got[r.source] += r.taken
+        target[r.source] = r.target
+    assert [target[s] for s in ("b150", "c300", "d700", "e2100")] == [450, 900, 2100, 6300]
+    assert all(abs(got[s] - target[s]) <= max(2, target[s] / 300) for s in parts), (got, target)
