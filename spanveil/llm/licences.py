@@ -1,6 +1,10 @@
 """Licence scans: a trained paragraph classifier with template confirmation. The scan is native DataFrame code only.
 
-A paragraph is a line of a document. A sparse multinomial logistic regression over its distinct word
+A paragraph is a line of a document, or a statement that wraps over several: neighbouring lines, without
+a line between that has no words (comment marks aren't words), are scored joined, from every line on and
+over as many lines as the longest template may need. Lines that are confirmed alone are in no such window;
+of confirmed windows that overlap, the first stays, and of those from the same line the one that agrees
+best, then the shortest. A window that stays stands for its lines. A sparse multinomial logistic regression over its distinct word
 uni- and bigrams gives the probability of each licence family and of `unknown`. It is fitted on the
 driver from the small labelled table below; a temperature, fitted on the part of the table that
 training didn't see, calibrates it. A family is predicted if its calibrated probability is at least
@@ -24,10 +28,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import ascii_lower
+from spanveil.llm.common import ascii_lower, stage
 
 UNKNOWN = "unknown"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+#: A line without words, and the end of the line before.
+NO_WORDS = r"\n[^a-zA-Z0-9\n]*+(?=\n)"
 #: Words that carry no meaning alone.
 STOP = frozenset("a an and any are as at be by for from if in is it its no not of on or such that the this to under was were which will with you your 1 2 3 4 0 s c".split())
 
@@ -170,31 +176,64 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenceModel | None = None, least: float = LEAST, agree: float = AGREE) -> DataFrame:
-    """One row for each paragraph that is predicted a licence: id_col, _h (hash of the text), paragraph (line number from 0), family, score, agreement, confirmed."""
-    model = model or fit()
-    spark, families = docs.sparkSession, model.families
-    weights = _inline(spark, [{"gram": g, "w": [round(float(v), 6) for v in w]} for g, w in model.weights.items()], "gram:string,w:array<double>")
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.posexplode(F.split(F.col(text_col), "\n")).alias("_line", "_p"))
-    words = lines.select("_id", "_h", "_line", F.regexp_extract_all(ascii_lower(F.col("_p")), F.lit(WORD), F.lit(0)).alias("_w"))
-    hits = words.select("_id", "_h", "_line", "_w", F.explode(_grams(F.col("_w"))).alias("gram")).join(F.broadcast(weights), "gram")
+def _scored(words: DataFrame, keys: list[str], model: LicenceModel, weights: DataFrame, unique: bool = False) -> DataFrame:
+    """words: keys (unique: in one row each), _w. keys, _w, family, score, agreement of each that has an n-gram of the model."""
+    families = model.families
+    hits = words.select(*keys, "_w", F.explode(_grams(F.col("_w"))).alias("gram")).join(F.broadcast(weights), "gram")
     # Equal rows of a document would be summed together; copies is how many there are.
-    scored = hits.groupBy("_id", "_h", "_line").agg(F.first("_w").alias("_w"), F.count("*").alias("_c"), F.count_distinct("gram").alias("_g"), *[F.sum(F.col("w")[k]).alias(f"_z{k}") for k in range(len(families))])
-    copies = F.col("_c") / F.col("_g")
+    counts = [] if unique else [F.count("*").alias("_c"), F.count_distinct("gram").alias("_g")]
+    scored = hits.groupBy(*keys).agg(F.first("_w").alias("_w"), *counts, *[F.sum(F.col("w")[k]).alias(f"_z{k}") for k in range(len(families))])
+    copies = F.lit(1) if unique else F.col("_c") / F.col("_g")
     logits = F.array(*[(F.col(f"_z{k}") / copies + float(model.bias[k])) / model.temperature for k in range(len(families))])
     best = scored.withColumn("_zs", logits).withColumn("_top", F.array_max("_zs"))
     best = best.withColumn("score", 1 / F.aggregate("_zs", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("_top"))))
     best = best.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position("_zs", F.col("_top")).cast("int")))
-    best = best.filter((F.col("family") != UNKNOWN) & (F.col("score") >= least))
-    templates = _inline(spark, [{"family": f, "templates": [sorted(set(tokens(t))) for t in LABELLED.get(f, [])]} for f in families if f != UNKNOWN], "family:string,templates:array<array<string>>")
+    templates = _inline(words.sparkSession, [{"family": f, "templates": [sorted(set(tokens(t))) for t in LABELLED.get(f, [])]} for f in families if f != UNKNOWN], "family:string,templates:array<array<string>>")
     own = F.array_distinct("_w")
     shared = F.transform("templates", lambda t: 2 * F.size(F.array_intersect(t, own)) / (F.size(t) + F.least(F.size(own), F.size(t))))
-    out = best.join(F.broadcast(templates), "family").withColumn("agreement", F.array_max(shared))
-    return out.select(F.col("_id").alias(id_col), "_h", F.col("_line").alias("paragraph"), "family", "score", "agreement", (F.col("agreement") >= agree).alias("confirmed"))
+    out = best.join(F.broadcast(templates), "family", "left").withColumn("agreement", F.coalesce(F.array_max(shared), F.lit(0.0)))
+    return out.select(*keys, "_w", "family", "score", "agreement")
+
+
+def _windows(lines: DataFrame) -> DataFrame:
+    """lines: _id, _h, _run, _line, _w, confirmed. _id, _h, _run, _first, _last, _w of neighbouring lines of a run.
+
+    What lies between the first and the last line has fewer words than the longest template; lines without an n-gram of the model aren't in lines and count as one."""
+    most = max(len(tokens(t)) for texts in LABELLED.values() for t in texts)
+    runs = lines.groupBy("_id", "_h", "_run").agg(F.array_sort(F.collect_list(F.struct(F.col("_line").alias("line"), F.col("_w").alias("w"), F.col("confirmed").alias("ok")))).alias("a"))
+    made = F.expr(f"""flatten(transform(sequence(0, size(a) - 2), i -> transform(
+        aggregate(slice(a, i + 2, {most}), named_struct('inner', 0, 'at', a[i].line, 'open', NOT a[i].ok, 'w', a[i].w, 'out', CAST(array() AS array<struct<last:int,w:array<string>>>)),
+            (s, x) -> IF(s.open AND NOT x.ok AND s.inner + x.line - s.at - 1 < {most},
+                named_struct('inner', s.inner + x.line - s.at - 1 + size(x.w), 'at', x.line, 'open', true, 'w', concat(s.w, x.w), 'out', concat(s.out, array(named_struct('last', x.line, 'w', concat(s.w, x.w))))),
+                named_struct('inner', s.inner, 'at', s.at, 'open', false, 'w', s.w, 'out', s.out))).out,
+        o -> named_struct('first', a[i].line, 'last', o.last, 'w', o.w))))""")
+    rows = runs.filter(F.size("a") > 1).select("_id", "_h", "_run", F.explode(made).alias("o"))
+    return rows.select("_id", "_h", "_run", F.col("o.first").alias("_first"), F.col("o.last").alias("_last"), F.col("o.w").alias("_w"))
+
+
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenceModel | None = None, least: float = LEAST, agree: float = AGREE) -> DataFrame:
+    """One row for each paragraph that is predicted a licence: id_col, _h (hash of the text), run (of lines with words, from 0), first and last (its lines in the run), family, score, agreement, confirmed."""
+    model = model or fit()
+    weights = _inline(docs.sparkSession, [{"gram": g, "w": [round(float(v), 6) for v in w]} for g, w in model.weights.items()], "gram:string,w:array<double>")
+    runs = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.posexplode(F.split(F.col(text_col), NO_WORDS)).alias("_run", "_r"))
+    lines = runs.select("_id", "_h", "_run", F.posexplode(F.split(F.col("_r"), "\n")).alias("_line", "_p"))
+    words = lines.select("_id", "_h", "_run", "_line", F.regexp_extract_all(ascii_lower(F.col("_p")), F.lit(WORD), F.lit(0)).alias("_w"))
+    predicted = (F.col("family") != UNKNOWN) & (F.col("score") >= least)
+    alone = _scored(words, ["_id", "_h", "_run", "_line"], model, weights)
+    alone = stage(alone.withColumn("predicted", predicted).withColumn("confirmed", predicted & (F.col("agreement") >= agree)), "licences-lines")
+    joined = _scored(_windows(alone), ["_id", "_h", "_run", "_first", "_last"], model, weights, unique=True).filter(predicted & (F.col("agreement") >= agree))
+    rest = ["family", "score", "agreement"]
+    found = alone.filter("predicted").select("_id", "_h", "_run", F.col("_line").alias("_first"), F.col("_line").alias("_last"), *rest, "confirmed")
+    found = found.unionByName(joined.select("_id", "_h", "_run", "_first", "_last", *rest, F.lit(True).alias("confirmed")))
+    order = F.struct(F.col("_first").alias("first"), (~F.col("confirmed")).alias("open"), (-F.col("agreement")).alias("gap"), F.col("_last").alias("last"), F.col("family").alias("family"), F.col("score").alias("score"))
+    kept = F.expr("""aggregate(f, named_struct('end', -1, 'out', slice(f, 1, 0)), (s, x) -> IF(x.first > s.end, named_struct('end', x.last, 'out', concat(s.out, array(x))), s)).out""")
+    out = found.groupBy("_id", "_h", "_run").agg(F.array_sort(F.collect_list(order)).alias("f")).select("_id", "_h", "_run", F.explode(kept).alias("x"))
+    x = F.col("x")
+    return out.select(F.col("_id").alias(id_col), "_h", F.col("_run").alias("run"), x["first"].alias("first"), x["last"].alias("last"), x["family"].alias("family"), x["score"].alias("score"), (-x["gap"]).alias("agreement"), (~x["open"]).alias("confirmed"))
 
 
 def licence_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenceModel | None = None) -> DataFrame:
-    """One row for each of docs: id_col, n_paragraphs, n_predicted, n_confirmed, families (confirmed, sorted, comma-joined), best_score."""
+    """One row for each of docs: id_col, n_paragraphs (lines that aren't blank), n_predicted, n_confirmed, families (confirmed, sorted, comma-joined), best_score."""
     found = scan_licences(docs, id_col, text_col, model).groupBy(F.col(id_col).alias("_id"), "_h").agg(
         F.count("*").alias("_n"), F.count_if("confirmed").alias("_ok"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("_f"), F.max("score").alias("_s")
     )

@@ -369,3 +369,23 @@ def test_mixing_meets_targets_of_small_sources_beside_a_huge_one(spark, monkeypa
         target[r.source] = r.target
     assert [target[s] for s in ("b150", "c300", "d700", "e2100")] == [450, 900, 2100, 6300]
     assert all(abs(got[s] - target[s]) <= max(2, target[s] / 300) for s in parts), (got, target)
+
+
+def test_licences_that_wrap_over_lines(spark):
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are", "met:"]
+    lgpl = ["This library is free software; you can redistribute it and/or", "modify it under the terms of the GNU Lesser General Public", "License as published by the Free Software Foundation; either", "version 2.1 of the License, or (at your option) any later version."]
+    mit = ["Permission is hereby granted, free of", "charge, to any person obtaining a copy", "of this software and associated", "documentation files, to deal", "in the Software without restriction"]
+    cases = [
+        ("\n".join(gpl), "gpl"),
+        ("#!/bin/sh\n#\n" + "\n".join("# " + x for x in gpl) + "\n#\nset -e", "gpl"),
+        ("/*\n" + "\n".join(" * " + x for x in bsd) + "\n */", "bsd"),
+        ("\n".join("// " + x for x in lgpl) + "\r\n", "lgpl"),
+        ("\n".join(mit), "mit"),
+        ("\n".join(bsd) + "\n\n" + "\n".join(gpl) + "\nReleased under the MIT License.", "bsd,gpl,mit"),
+        ("\n\n".join(gpl[:2]), ""),
+        ("The program was free for the public.\nShe met the general of the foundation\nand published a license plate.", ""),
+    ]
+    got = {r.doc_id: r for r in licences.licence_report(frame(spark, [t for t, _ in cases])).collect()}
+    assert [got[k + 1].families for k in range(len(cases))] == [f for _, f in cases]
+    assert [got[k].n_confirmed for k in (1, 3, 4, 5, 6)] == [1, 1, 1, 1, 3]
