@@ -270,6 +270,11 @@ def byte_slice(spark: SparkSession, sf: str) -> DataFrame:
     return files.slice_text(ascii_, 100, 180, 1000).select("doc_id", "slice")
 
 
+def byte_slice_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Slices of every document, cut characters included; without SQL, see byte_slice."""
+    return files.slice_text(docs(spark, sf), 100, 180, 1000).select("doc_id", "slice")
+
+
 def binary_filter(spark: SparkSession, sf: str) -> DataFrame:
     table = fx.frame(spark, "blobs").select("doc_id", F.unhex("hex").alias("content"))
     return table.filter(~files.is_binary(F.col("content"))).select("doc_id")
@@ -343,7 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vault_owners": vault_owners, "vault_lru_evict": vault_lru, "vault_stats": vault_stats, "grep_lines": grep_lines, "grep_limit": grep_limit, "line_split": line_split, "line_numbers": line_numbers,
     "rule_summary": rule_summary, "chunk_scan_dedup": chunk_scan, "allowlist_anti": allow_anti, "env_key_parse": env_key_parse, "tuned_spans": tuned_spans, "naive_scan": naive_scan,
     "score_candidates": score_candidates, "score_benign_semi": score_benign, "score_fn_anti": score_fn, "score_rollup": score_rollup, "score_rates": score_rates, "percentile_nearest_rank": percentiles,
-    "throughput": throughput, "guard_regex_fallback": guard_fallback, "bash_guard": guard, "doctor_missing_rules": doctor, "size_routing": size_routing, "byte_slice": byte_slice,
+    "throughput": throughput, "guard_regex_fallback": guard_fallback, "bash_guard": guard, "doctor_missing_rules": doctor, "size_routing": size_routing, "byte_slice": byte_slice, "byte_slice_all": byte_slice_all,
     "binary_filter": binary_filter, "ignore_prune": ignore_prune, "request_parse": requests, "report_offsets": report_offsets, "ner_merge": ner_merge, "ner_plugin": ner_plugin,
     "aes_roundtrip": aes_roundtrip, "corpus_scores": corpus_scores, "streaming_redact": streaming_redact,
 }

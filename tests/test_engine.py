@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanveil import fixtures as fx
+from spanveil import queries
 from spanveil.functions import checks, tokens
 from spanveil.functions.spans import merge_spans
 from spanveil.operators import audit, chunks, commands, redact, scoring, search, vault
@@ -218,3 +219,10 @@ def test_streams(spark, tmp_path):
 
 def test_entropy_of_empty(spark):
     assert spark.range(1).select(checks.entropy(F.lit(""))).first()[0] == 0.0
+
+
+def test_byte_slice_all_has_every_document(spark, tmp_path):
+    texts = [None, "", "x" * 99, "a" * 99 + "é" * 60, "🙂" * 60, "a" + "🙂" * 60, "ab" + "漢" * 80, "a" * 179 + "🙂", "plain " * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.slice for r in queries.QUERIES["byte_slice_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else t.encode()[100:180].decode(errors="replace") for k, t in enumerate(texts)}
