@@ -3,16 +3,27 @@
 Signatures: a shingle's hash falls in one of UNIVERSE bins; a first permutation moves the bin, and a
 second, shifted circularly by k, gives its value for coordinate k. So the values of one shingle for all
 coordinates are one contiguous run of the second permutation, and a signature is the minimum of such
-runs. BANDS bands of ROWS coordinates: a pair at the threshold 0.85 escapes all bands with a
-probability of 2e-8, and one at 0.95 with less than 1e-19. Below 0.85, MOST_BANDS are taken: a pair at
-0.80 escapes them with a probability of 2e-8, too.
+runs. Sets beyond TABLE_SHINGLES would fill the bins; for them both permutations are of all 64-bit
+numbers and computed instead of looked up, and sets near that size get keys of both kinds. BANDS bands
+of ROWS coordinates: a pair at the threshold 0.85 escapes all bands with a probability of 2e-8, and one
+at 0.95 with less than 1e-19. Below 0.85, MOST_BANDS are taken: a pair at 0.80 escapes them with a
+probability of 2e-8, too.
 
 Documents with equal shingle sets are one class (by a 128-bit digest of the set) with its smallest id
-as representative; only representatives are banded. Buckets link representatives to the bucket's
-smallest (no pairs within a bucket), the components of these links are the candidate groups, and a
-group's full sets meet in one task, or, above TILE_SHINGLES, in tasks for each pair of its tiles. There
-an exact prefix filter (rarest shingles first) finds the pairs to compare and every link is confirmed
-on full sets; of the links, a spanning forest leaves the task. Nothing is capped or sampled.
+as representative; only representatives are banded. Then, in buckets that hold two representatives:
+
+1. Each representative is compared with one other, the smallest id of all its buckets: full sets meet in
+   tasks that hold one set of the two and stream the others past it, so a large group of near copies is
+   a star whose leaves are dealt over many tasks. The links so confirmed give components.
+2. What is left are buckets whose members are in different components. Their sets meet bucket by bucket
+   (buckets with equal members once), and an exact prefix filter (rarest shingles first) finds the pairs
+   to compare; pairs that are in one component already aren't compared.
+3. A bucket of over TILE_SHINGLES is split by the members' other bands first: a pair above the threshold
+   that shares one band shares another. What is still larger is compared tile by tile.
+
+Groups are never closed over links that aren't confirmed, so chains of weak candidates don't grow
+together. Nothing is capped or sampled. Every link is confirmed on full sets of 64-bit shingle hashes,
+whose words are hashed eight bytes at a time with full mixing (textnum.word_hashes).
 
 Cases: null or blank text has no shingles and is linked with nothing; with fewer words than a shingle,
 the whole sequence is the one shingle; rows that repeat an id are one document for linking, each with
@@ -26,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import bounded_batches, join_hot, stage, with_filter
+from spanveil.llm.common import bounded_batches, join_hot, settled, stage, with_filter
 from spanveil.llm.graph import components
 from spanveil.llm.textnum import U64, chunks, mix64, text_bytes, word_hashes, words
 
@@ -37,10 +48,14 @@ SHINGLE = 5
 BANDS, ROWS = 56, 8
 MOST_BANDS = 96
 UNIVERSE = 1 << 20
-#: Similarity in hundredths at and above which two documents are linked, where no other is given.
-PERCENT = 85
-#: A group's tile holds about so many shingles (8 bytes each).
+#: Beyond so many shingles, permutations are computed: a table's bins would hold too many.
+TABLE_SHINGLES = 1 << 16
+#: Similarity in hundredths at and above which two documents are linked, where no other is given. Never below LEAST_PERCENT.
+PERCENT, LEAST_PERCENT = 85, 80
+#: A bucket's tile holds about so many shingles (8 bytes each).
 TILE_SHINGLES = 1 << 20
+#: Parts that the members compared with one leader are dealt to, at least.
+STAR_PARTS = 64
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 SEED = 20_240_607
 
@@ -86,6 +101,7 @@ def bands_for(percent: int) -> int:
 
 
 def signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """By the permutations of UNIVERSE."""
     first, second = permutations()
     second = second[:, : bands * ROWS]
     at = first[(shingles & U64(UNIVERSE - 1)).astype(np.int64)]
@@ -95,10 +111,31 @@ def signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return best
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band; the band's number is part of it."""
+def wide_signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """By permutations of all 64-bit numbers, the second shifted circularly as well."""
+    shift = np.arange(bands * ROWS, dtype=U64)
+    moved = mix64(shingles ^ U64(0x5851F42D4C957F2D))
+    best = np.full(len(shift), ~U64(0))
+    for k in range(0, len(moved), 256):
+        np.minimum(best, mix64(moved[k : k + 256, None] + shift).min(axis=0), out=best)
+    return best
+
+
+def band_keys(sig: np.ndarray, kind: int = 0) -> np.ndarray:
+    """One 64-bit key a band; the band's number and the kind of the signature are part of it."""
     rows = sig.reshape(-1, ROWS).astype(U64)
-    return mix64((rows * _made["mix"]).sum(axis=1) + np.arange(1, len(rows) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    return mix64((rows * _made["mix"]).sum(axis=1) + np.arange(1 + kind * MOST_BANDS, len(rows) + 1 + kind * MOST_BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15))
+
+
+def bucket_keys(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """The keys of a set's buckets. Two sets above LEAST_PERCENT have a kind of keys in common."""
+    permutations()
+    kinds = []
+    if len(shingles) <= TABLE_SHINGLES:
+        kinds.append(band_keys(signature(shingles, bands)))
+    if 100 * len(shingles) > LEAST_PERCENT * TABLE_SHINGLES:
+        kinds.append(band_keys(wide_signature(shingles, bands), 1))
+    return np.concatenate(kinds)
 
 
 def set_digest(shingles: np.ndarray) -> bytes:
@@ -116,7 +153,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS) -> D
             for s in shingle_sets(batch.column("_t")):
                 n.append(len(s))
                 sets.append(set_digest(s) if len(s) else None)
-                bands.append(band_keys(signature(s, n_bands)).view(np.int64) if len(s) else None)
+                bands.append(bucket_keys(s, n_bands).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "_n", "_set", "_bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
@@ -124,25 +161,44 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS) -> D
 
 
 class Forest:
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+    """Labels of nodes; a union renames the smaller side."""
+
+    def __init__(self, labels: np.ndarray) -> None:
+        _, self.label = np.unique(labels, return_inverse=True)
+        order = np.argsort(self.label, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.label[order])) + 1
+        self.members = {int(self.label[x[0]]): x.tolist() for x in np.split(order, cuts) if len(x)}
 
     def union(self, a: int, b: int) -> bool:
-        x, y = self.label[a], self.label[b]
+        x, y = int(self.label[a]), int(self.label[b])
         if x == y:
             return False
-        self.label[self.label == max(x, y)] = min(x, y)
+        if len(self.members[x]) < len(self.members[y]):
+            x, y = y, x
+        moved = self.members.pop(y)
+        self.label[moved] = x
+        self.members[x] += moved
         return True
 
 
-def link(sets: list[np.ndarray], percent: int = PERCENT, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: pairs of indexes, every one confirmed on full sets.
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
 
+def link(sets: list[np.ndarray], percent: int = PERCENT, labels: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links among sets that join what labels leaves apart: pairs of indexes, every one confirmed on full sets.
+
+    Sets above the threshold share one of their rarest shingles, so the members of each such shingle's list
+    are compared: first all with the list's first, which joins most, then those still apart with one another.
     side: if given, only sets on different sides are compared."""
     m = len(sets)
-    if m == 2 and side is None:
-        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common) else []
+    forest, found = Forest(np.arange(m) if labels is None else labels), []
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), sizes)
     tokens, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -151,103 +207,189 @@ def link(sets: list[np.ndarray], percent: int = PERCENT, side: list[int] | None
     order = np.lexsort((rank[token], owner))
     ranked = rank[token][order]
     start = np.concatenate([[0], np.cumsum(sizes)])
-    shared = np.sort(df)[ranked] > 1
     prefix = sizes - (percent * sizes + 99) // 100 + 1
-    within = (np.arange(len(ranked)) - np.repeat(start[:-1], sizes) < np.repeat(prefix, sizes)) & shared
-    by_rank = np.lexsort((owner[order][within], ranked[within]))
-    post_doc, post_rank = owner[order][within][by_rank], ranked[within][by_rank]
-    lo = np.searchsorted(post_rank, ranked[within])
-    hi = np.searchsorted(post_rank, ranked[within], side="right")
-    doc_of = owner[order][within]
-    bounds = np.searchsorted(doc_of, np.arange(m + 1))
-    forest, found = Forest(m), []
-    sides = np.array(side) if side is not None else None
-    for x in range(m):
-        a, b = bounds[x], bounds[x + 1]
-        spans = [post_doc[lo[k] : hi[k]] for k in range(a, b) if hi[k] - lo[k] > 1]
-        if not spans:
-            continue
-        near = np.unique(np.concatenate(spans))
-        near = near[(near < x) & (100 * np.minimum(sizes[near], sizes[x]) >= percent * np.maximum(sizes[near], sizes[x]))]
-        if sides is not None:
-            near = near[sides[near] != sides[x]]
-        for y in near.tolist():
-            if forest.label[x] == forest.label[y]:
-                continue
-            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * common >= percent * (sizes[x] + sizes[y] - common):
+    within = (np.arange(len(ranked)) - np.repeat(start[:-1], sizes) < np.repeat(prefix, sizes)) & (np.sort(df)[ranked] > 1)
+    place = np.lexsort((owner[order][within], ranked[within]))
+    members, of = owner[order][within][place], ranked[within][place]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+    tested: set[int] = set()
+
+    def test(x: int, y: int) -> None:
+        pair = min(x, y) * m + max(x, y)
+        if pair not in tested and (side is None or side[x] != side[y]):
+            tested.add(pair)
+            if similar(sets[x], sets[y], percent):
                 forest.union(x, y)
                 found.append((x, y))
+
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a < 2:
+            continue
+        docs = members[a:b]
+        if (forest.label[docs] == forest.label[docs[0]]).all():
+            continue
+        for x in docs[1:].tolist():
+            if forest.label[x] != forest.label[docs[0]]:
+                test(int(docs[0]), x)
+        if (forest.label[docs] == forest.label[docs[0]]).all():
+            continue
+        for k in range(2, len(docs)):
+            x = int(docs[k])
+            near = docs[1:k]
+            for y in near[forest.label[near] != forest.label[x]].tolist():
+                if forest.label[y] != forest.label[x]:
+                    test(x, y)
     return found
 
 
-def _link_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows _group, _i, _j, _tile, _id, _s sorted by group and tiles: links of each group."""
-    key, ids, sets, tiles = None, [], [], []
+def _ids(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+
+def _sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(s.as_buffer(), U64) for s in batch.column("_s"))
+
+
+def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows _lead, _salt, _leaf, _id, _s in order of the first three, the leader's before its leaves': the leaves similar to their leader. One set is held at a time, and the leader's."""
+    key, held = None, []
+    for batch in batches:
+        found = []
+        for lead, salt, leaf, doc, s in zip(*(batch.column(c).to_pylist() for c in ("_lead", "_salt", "_leaf", "_id")), _sets_of(batch), strict=True):
+            if (lead, salt) != key:
+                key, held = (lead, salt), []
+            if not leaf:
+                # A copy: the batch's memory goes with the batch. Rows that repeat an id are one document.
+                held.append(s.copy())
+            elif any(similar(s, h, percent) for h in held):
+                found.append((doc, lead))
+        yield _ids(found)
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows _key, _i, _j, _tile, _id, _label, _s in order of the first three: links of each bucket that join labels."""
+    key, ids, sets, labels, tiles = None, [], [], [], []
 
     def done() -> pa.RecordBatch:
-        cross = key is not None and key[1] != key[2]
-        pairs = link(sets, percent, tiles if cross else None) if len(sets) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in pairs], pa.int64()), pa.array([ids[y] for _, y in pairs], pa.int64())], ["a", "b"])
+        pairs = link(sets, percent, np.array(labels), np.array(tiles) if key[1] != key[2] else None) if len(set(labels)) > 1 else []
+        return _ids([(ids[x], ids[y]) for x, y in pairs])
 
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("_group", "_i", "_j", "_tile", "_id")), batch.column("_s"), strict=True)
-        for group, i, j, tile, doc, s in rows:
-            if (group, i, j) != key:
+        for k, i, j, tile, doc, label, s in zip(*(batch.column(c).to_pylist() for c in ("_key", "_i", "_j", "_tile", "_id", "_label")), _sets_of(batch), strict=True):
+            if (k, i, j) != key:
                 if len(sets) > 1:
                     yield done()
-                key, ids, sets, tiles = (group, i, j), [], [], []
+                key, ids, sets, labels, tiles = (k, i, j), [], [], [], []
             ids.append(doc)
+            labels.append(label)
             tiles.append(tile)
-            sets.append(np.frombuffer(s.as_buffer(), U64))
+            sets.append(s.copy())
     if len(sets) > 1:
         yield done()
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
-    """reps: _id, _bands. node, root for representatives that share a bucket with another."""
-    keys = reps.select("_id", F.explode("_bands").alias("_key"))
-    least = keys.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first <> _last").drop("_last")
-    return components(keys.join(least, "_key").filter("_id <> _first").select(F.col("_id").alias("a"), F.col("_first").alias("b")))
-
-
+class NearPairs:
+    """The steps from buckets to confirmed links, for one table's representatives."""
+
+    def __init__(self, sets: DataFrame, bands: DataFrame, percent: int) -> None:
+        """sets: _id, _s. bands: _id, _n, _bands."""
+        self.sets, self.bands, self.percent = sets, bands, percent
+        self.parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def stars(self, buckets: DataFrame) -> DataFrame:
+        """buckets: _id, _first. Links of each representative with the smallest of its buckets' firsts: a, b."""
+        salts, percent = max(STAR_PARTS, self.parts), self.percent
+        pairs = buckets.groupBy("_id").agg(F.min("_first").alias("_lead")).filter("_id <> _lead")
+        pairs = pairs.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+        leaves = pairs.join(self.sets, "_id").select("_lead", "_salt", F.lit(1).alias("_leaf"), "_id", "_s")
+        leads = pairs.select("_lead", "_salt").distinct().join(self.sets.withColumnRenamed("_id", "_lead"), "_lead").select("_lead", "_salt", F.lit(0).alias("_leaf"), F.col("_lead").alias("_id"), "_s")
+        met = leaves.unionByName(leads).repartition(self.parts, "_lead", "_salt").sortWithinPartitions("_lead", "_salt", "_leaf")
+        return stage(met.mapInArrow(lambda batches: _stars(batches, percent), "a long, b long"), "minhash-stars")
+
+    def rest(self, buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """buckets: _key, _id, _n. Rows of buckets whose members have different labels, buckets with equal members once: _key, _id, _n, _label, and _key, _sum, _members of these."""
+        labelled = buckets.join(roots.select(F.col("node").alias("_id"), "root"), "_id", "left").select("_key", "_id", "_n", F.coalesce("root", "_id").alias("_label"))
+        labelled = stage(labelled, "minhash-labelled")
+        mark: Column = F.xxhash64("_id")
+        mixed = labelled.groupBy("_key").agg(
+            F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.count("*").alias("_members"), F.sum("_n").alias("_sum"), F.bit_xor(mark).alias("_x"), F.sum(mark.cast("decimal(38,0)")).alias("_y")
+        ).filter("_low <> _high")
+        once = stage(mixed.groupBy("_members", "_sum", "_x", "_y").agg(F.min("_key").alias("_key")).select("_key", "_sum", "_members"), "minhash-mixed")
+        return join_hot(labelled, once, "_key", "_members", labelled.count(), "_id").select("_key", "_id", "_n", "_label"), once
+
+    def bucket_links(self, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Links within buckets that join labels: a, b."""
+        percent = self.percent
+        tiled = join_hot(rows, sizes, "_key", "_members", rows.count(), "_id").withColumn("_tiles", F.ceil(F.col("_sum") / TILE_SHINGLES).cast("int"))
+        tiled = tiled.withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_tiles").cast("long")).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+        met = tiled.join(self.sets, "_id").select("_key", F.least("_tile", "_k").alias("_i"), F.greatest("_tile", "_k").alias("_j"), "_tile", "_id", "_label", "_s")
+        met = met.repartition(self.parts, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", "_id")
+        return stage(met.mapInArrow(lambda batches: _bucket_links(batches, percent), "a long, b long"), "minhash-links")
+
+    def deeper(self, rows: DataFrame) -> DataFrame:
+        """rows: _key, _id, _n. Buckets of two bands each: that of _key and another."""
+        both = rows.select("_key", "_id", "_n").join(self.bands.select("_id", F.explode("_bands").alias("_other")), "_id").filter("_other <> _key")
+        return shared_buckets(both.select(F.xxhash64(F.least("_key", "_other"), F.greatest("_key", "_other")).alias("_key"), "_id", "_n").distinct())
+
+    def links(self, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """buckets: see shared_buckets. Confirmed links that give the components of all (a, b), and these (node, root)."""
+        found = self.stars(buckets)
+        roots = components(found)
+        for last in (False, True):
+            rows, sizes = self.rest(buckets, roots)
+            if sizes.isEmpty():
+                break
+            small, large = sizes.filter(F.col("_sum") <= TILE_SHINGLES), sizes.filter(F.col("_sum") > TILE_SHINGLES)
+            done = last or large.isEmpty()
+            more = self.bucket_links(rows, sizes) if done else self.bucket_links(rows.join(small.select("_key"), "_key", "left_semi"), small)
+            if not done:
+                buckets = self.deeper(rows.join(large.select("_key"), "_key", "left_semi"))
+                more = more.unionByName(self.stars(buckets))
+            if not more.isEmpty():
+                found = found.unionByName(more)
+                roots = components(found)
+            if done:
+                break
+        return found, roots
+
+
+def shared_buckets(keys: DataFrame) -> DataFrame:
+    """keys: _key, _id, _n. Adds _first, the smallest id of the bucket; only rows of buckets with two ids."""
+    least = keys.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.count("*").alias("_count")).filter("_first <> _last").drop("_last")
+    least = stage(least, "minhash-shared")
+    rows = least.agg(F.coalesce(F.sum("_count"), F.lit(0))).first()[0]
+    return stage(join_hot(keys, least, "_key", "_count", rows, "_id").select("_key", "_id", "_n", "_first"), "minhash-buckets")
+
+
+@settled
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each of docs: id_col, n_shingles, component_id, kept, n_links (of the forest, for its class).
 
-    percent: similarity in hundredths at and above which two documents are linked, 80 or more."""
+    percent: similarity in hundredths at and above which two documents are linked, LEAST_PERCENT or more."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"documents are linked from {LEAST_PERCENT} percent on")
     bounded_batches(docs.sparkSession)
     signed = stage(sign(docs, id_col, text_col, bands_for(percent)), "minhash")
     classes = signed.filter("_n > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"))
     classes = stage(classes, "minhash-classes")
-    reps = signed.select("_id", "_n", "_set", "_bands").join(classes.select("_set", F.col("_rep").alias("_id")), ["_set", "_id"]).dropDuplicates(["_id", "_set"])
-    groups = candidate_groups(reps.select("_id", "_bands"))
-
-    sizes = signed.select("_id", "_n").join(groups.withColumnRenamed("node", "_id"), "_id").groupBy("root").agg(F.sum("_n").alias("_sum"))
-    tiled = sizes.select("root", F.ceil(F.col("_sum") / TILE_SHINGLES).cast("int").alias("_tiles"))
-    members = stage(groups.join(tiled, "root").select(F.col("node").alias("_id"), F.col("root").alias("_group"), "_tiles"), "minhash-groups")
+    reps = signed.select("_id", "_n", "_set", "_bands").join(classes.select("_set", F.col("_rep").alias("_id")), ["_set", "_id"]).dropDuplicates(["_id", "_set"]).select("_id", "_n", "_bands")
+    buckets = shared_buckets(reps.select(F.explode("_bands").alias("_key"), "_id", "_n"))
 
+    members = buckets.select("_id").distinct()
     texts = with_filter(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")), members, ["_id"]).filter("_maybe").select("_id", "_t")
-    texts = texts.join(members, "_id")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("_t"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_group"), batch.column("_tiles"), sets], ["_id", "_group", "_tiles", "_s"])
-
-    sets = texts.select("_id", "_group", "_tiles", "_t").mapInArrow(to_sets, "_id long, _group long, _tiles int, _s binary")
-    sets = sets.withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_tiles").cast("long")).cast("int"))
-    sets = sets.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    sets = sets.select("_id", "_group", F.least("_tile", "_k").alias("_i"), F.greatest("_tile", "_k").alias("_j"), "_tile", "_s")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = sets.repartition(n, "_group", "_i", "_j").sortWithinPartitions("_group", "_i", "_j", "_id")
-    links = stage(grouped.mapInArrow(lambda batches: _link_groups(batches, percent), "a long, b long"), "minhash-links")
-    roots = components(links)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("_t"))], pa.binary())], ["_id", "_s"])
+
+    sets = stage(texts.join(members, "_id").select("_id", "_t").mapInArrow(to_sets, "_id long, _s binary"), "minhash-sets")
+    links, roots = NearPairs(sets, reps, percent).links(buckets)
+    links = links.distinct()
 
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("_links"))
     placed = classes.join(roots.withColumnRenamed("node", "_rep"), "_rep", "left").join(degree.withColumnRenamed("node", "_rep"), "_rep", "left")
     placed = placed.select("_set", "_copies", F.coalesce("root", "_rep").alias("_root"), F.coalesce("_links", F.lit(0)).alias("_links"))
-    total = signed.count()
-    out = join_hot(signed.select("_id", "_n", "_set"), placed, "_set", "_copies", total, "_id", "left")
+    out = join_hot(signed.select("_id", "_n", "_set"), placed, "_set", "_copies", signed.count(), "_id", "left")
     component = F.coalesce("_root", "_id")
     return out.select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")

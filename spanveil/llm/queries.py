@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.llm.common import dealt
 from spanveil.llm.chat import digest_turns, format_conversations, read_back
 from spanveil.llm.decontaminate import decontaminate
 from spanveil.llm.exact_dedup import exact_dedup
@@ -20,7 +21,7 @@ from spanveil.llm.warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

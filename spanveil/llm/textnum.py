@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +50,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 with np.errstate(over="ignore"):
     _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_LOWER_BYTE = _BYTE.copy()
-_LOWER_BYTE[65:91] = _BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -84,12 +83,31 @@ def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray, fold: bool =
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: The first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Words beyond so many bytes are hashed one by one.
+LONG_WORD = 512
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words with A-Z folded; equal words have equal hashes wherever they stand."""
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_LOWER_BYTE[raw] * powers(_BASE, len(raw)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_INVERSE, len(raw) + 1)[starts]
-    return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hashes of words with A-Z folded; equal words have equal hashes wherever they stand.
+
+    Eight bytes are mixed at a time into what came before, so that no family of words collides by its form."""
+    folded = np.concatenate([_FOLD[raw], np.zeros(8, np.uint8)])
+    lanes = np.lib.stride_tricks.as_strided(folded, (len(raw) + 1, 8), (1, 1), writeable=False)
+    size = ends - starts
+    h = mix64(size.astype(U64) + U64(0xD6E8FEB86659FD93))
+    at, live = starts.copy(), np.flatnonzero(size <= LONG_WORD)
+    while len(live):
+        lane = np.ascontiguousarray(lanes[at[live]]).view("<u8").ravel() & _FIRST[np.minimum(ends[live] - at[live], 8)]
+        h[live] = mix64(h[live] ^ (lane * U64(_BASE)))
+        at[live] += 8
+        live = live[at[live] < ends[live]]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(folded[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
