@@ -188,7 +188,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int,
     are split in HOT_PARTS parts by id_col, and right's row is repeated for each.
     """
     is_hot = F.col(rows) * HOT_SHARE > F.lit(total)
-    hot = right.filter(is_hot).select(key, F.lit(HOT_PARTS).alias("_parts"))
+    # With a row that matches nothing, so that the plan is the same whether there are hot keys or none.
+    none = right.sparkSession.range(1).select(F.lit(None).cast(right.schema[key].dataType).alias(key), F.lit(0).alias("_parts"))
+    hot = right.filter(is_hot).select(key, F.lit(HOT_PARTS).alias("_parts")).unionByName(none)
     salted = left.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(id_col), F.lit(HOT_PARTS)).cast("int"))
     ).drop("_parts")
