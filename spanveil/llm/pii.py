@@ -18,6 +18,7 @@ gives no rows. Offsets are code points, end exclusive. Only the named columns ar
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -31,10 +32,13 @@ from spanveil.llm.textnum import U64, chunks, code_points, mix64, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
+#: The patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: IP's matches, found in time proportional to the text: one starts only where a run of digits does, and no digit is given back.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGIT, _LOCAL = re.compile("[0-9]"), re.compile(r"[A-Za-z0-9._%+-]+$")
 
 
@@ -67,7 +71,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", *span) for span in _emails(text)]
     if not _DIGIT.search(text):
         return out
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if 13 <= m.end() - m.start():
             digits = m[0].replace(" ", "").replace("-", "")
@@ -82,8 +86,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 VOCABULARY = 1 << 13
 #: Character classes of a shape: 0 space, 1 lower, 2 upper, 3 digit, 4 other letter, then each of PUNCTUATION, then any other.
 PUNCTUATION = "@.-()+:/_[],;#*"
-OFFSETS = (-1, 0, 1)
-PER_WORD = 3
+OFFSETS = (-2, -1, 0, 1, 2)
+PER_WORD = 4
 
 
 def _class_table() -> np.ndarray:
@@ -97,6 +101,8 @@ def _class_table() -> np.ndarray:
 
 
 CLASS = _class_table()
+TRIM = ".,;:!?"
+_TRIMMED = np.array([ord(c) for c in TRIM], np.uint32)
 DIGIT_BUCKET = np.array([0, 1, 2, 3, 4, 5, 5, 6, 6, 7, 8, 8, 9, *[10] * 7, 11])
 
 
@@ -118,29 +124,43 @@ class Words:
         if not self.count:
             self.features = np.zeros((0, PER_WORD), np.int64)
             return
-        power = np.full(n, 0x9E3779B97F4A7C15, U64)
-        np.multiply.accumulate(power, out=power)
+        # Features are of the word without the punctuation that ends it.
+        end, used = self.end.copy(), kind != 0
+        for _ in range(2):
+            last = end - 1
+            cut_off = np.isin(points[last], _TRIMMED) & (last > self.start)
+            used[last[cut_off]] = False
+            end -= cut_off
         digit = np.concatenate([[0], np.cumsum(kind == 3)])
-        digits = np.minimum(digit[self.end] - digit[self.start], 20)
+        digits = np.minimum(digit[end] - digit[self.start], 20)
         # A collapsed shape: each class once per run, by its order among the word's runs.
         run = np.ones(n, bool)
         run[1:] = (kind[1:] != kind[:-1]) | cut[1:-1]
         order = np.cumsum(run)
         before = order[self.start]
-        owner = np.repeat(np.arange(self.count), self.end - self.start)
-        inside = np.flatnonzero(kind != 0)
+        owner = np.repeat(np.arange(self.count), end - self.start)
+        inside = np.flatnonzero(used)
         rank = np.minimum(order[inside] - before[owner], 40)
         shape = np.where(run[inside], mix64(kind[inside].astype(U64) * U64(64) + rank.astype(U64)), U64(0))
-        bounds = np.concatenate([[0], np.cumsum(self.end - self.start)])[:-1]
+        bounds = np.concatenate([[0], np.cumsum(end - self.start)])[:-1]
         shape = np.add.reduceat(shape, bounds)
         lower = np.where((points >= 65) & (points < 91), points + 32, points)[inside]
         place = np.arange(len(inside)) - bounds[owner]
         spelled = np.add.reduceat(mix64(lower.astype(U64) * U64(1 << 20) + np.minimum(place, 1 << 19).astype(U64)), bounds)
-        length = np.minimum(self.end - self.start, 32)
+        length = np.minimum(end - self.start, 32)
         spelled = np.where((length <= 8) & (digits == 0), spelled, U64(0))
         size = length.astype(U64)
         wide = digits.astype(U64)
-        self.features = np.stack([mix64(shape + U64(1)), mix64(shape * U64(31) + wide * U64(64) + np.where(digits > 0, size, U64(0)) + U64(2)), mix64(spelled + DIGIT_BUCKET[digits].astype(U64) * U64(3))], axis=1)
+        # What a word is made of, whatever the order: how many of each mark, and whether it is all hexadecimal.
+        made = np.zeros(self.count, U64)
+        for place, mark in enumerate(".:@-/"):
+            seen = np.concatenate([[0], np.cumsum(points == ord(mark))])
+            made = made * U64(9) + np.minimum(seen[end] - seen[self.start], 8).astype(U64) + U64(place == 0)
+        low = points | 32
+        seen = np.concatenate([[0], np.cumsum((kind == 3) | ((low >= 97) & (low < 103)) | (points == 58))])
+        hexed = (seen[end] - seen[self.start]) == end - self.start
+        made = (made * U64(2) + hexed.astype(U64)) * U64(64) + DIGIT_BUCKET[digits].astype(U64)
+        self.features = np.stack([mix64(shape + U64(1)), mix64(shape * U64(31) + wide * U64(64) + np.where(digits > 0, size, U64(0)) + U64(2)), mix64(spelled + DIGIT_BUCKET[digits].astype(U64) * U64(3)), mix64(made * U64(0x9E3779B97F4A7C15) + U64(7))], axis=1)
         self.features = (self.features & U64(VOCABULARY - 1)).astype(np.int64)
 
 
@@ -159,9 +179,10 @@ class Crf:
             part = sum(self.weights[o, k][words.features[:, k]] for k in range(PER_WORD))
             if shift == 0:
                 out += part
-            elif words.count > 1:
-                a, b = (slice(1, None), slice(None, -1)) if shift < 0 else (slice(None, -1), slice(1, None))
-                same = words.line[1:] == words.line[:-1]
+            elif words.count > abs(shift):
+                k = abs(shift)
+                a, b = (slice(k, None), slice(None, -k)) if shift < 0 else (slice(None, -k), slice(k, None))
+                same = words.line[k:] == words.line[:-k]
                 out[a] += np.where(same[:, None], part[b], part.dtype.type(0))
         return out
 
@@ -209,57 +230,76 @@ PLAIN = "the and of in to is was for on that with as at by from it are this be o
 NAMES = "maria john li.wei anna_b k.schmidt j.doe pablo chloe t.okafor support info sales".split()
 HOSTS = "example mail corp post web net-mail uni studio".split()
 ENDS = "com org net de fr es io".split()
+#: What stands before personal data in the labelled lines, and as often before none.
+LEADS = "mail email contact call phone tel mobile fax ip host server address card visa pay write reach at: to: from: via".split()
+AT, DOT = ["[at]", "(at)", "at", "AT", "<at>", "{at}"], ["[dot]", "(dot)", "dot", "DOT", "<dot>", "{dot}"]
+
 
+def labelled_lines(n: int = 3000, seed: int = 5, forms: tuple[int, ...] = (0, 1, 2, 3, 4, 5)) -> list[list[tuple[str, str]]]:
+    """The labelled table: lines of (word, label), personal data in forms that the patterns know and others that they don't, among lines without any.
 
-def labelled_lines(n: int = 900, seed: int = 5) -> list[list[tuple[str, str]]]:
-    """The labelled table: lines of (word, label), personal data in forms that the patterns know and others that they don't, among lines without any."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    digits = lambda k: "".join(str(int(d)) for d in rng.integers(0, 10, k))
+    forms: which of each kind's six forms are used."""
+    draw = random.Random(seed).random
+    number = lambda low, high: low + int(draw() * (high - low))
+    pick = lambda xs: xs[int(draw() * len(xs))]
+    digits = lambda k: "".join(pick("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(pick("0123456789abcdef") for _ in range(k))
     tail = lambda: pick(["", "", "", ".", ",", ";"])
 
+    def letters(most: int = 13) -> str:
+        return "".join(pick("abcdefghijklmnopqrstuvwxyzéèêçüñß") for _ in range(number(1, most + 1)))
+
+    def plain_name() -> str:
+        return pick([pick(NAMES), "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(number(3, 10)))])
+
     def said() -> list[tuple[str, str]]:
-        kind, form = pick(KINDS), int(rng.integers(3))
+        kind, form = pick(KINDS), pick(forms)
         if kind == "email":
-            name, host, end = pick(NAMES), pick(HOSTS), pick(ENDS)
-            words = [[f"{name}@{host}.{end}"], [name, pick(["[at]", "(at)"]), host, pick(["[dot]", "(dot)"]), end], [f"{name}[at]{host}[dot]{end}"]][form]
+            name, host, end, at, dot = plain_name(), pick([pick(HOSTS), plain_name()]), pick(ENDS), pick(AT), pick(DOT)
+            spoken = [name, at, host, dot, end]
+            words = [[f"{name}@{host}.{end}"], spoken, [f"{name}[at]{host}[dot]{end}"], [f"{name}(at){host}.{end}"], [f"{name}(at){host}(dot){end}"], [name, "@", f"{host}.{end}"]][form]
         elif kind == "ip":
-            parts = [str(int(x)) for x in rng.integers(1, 256, 4)]
-            words = [[".".join(parts)], [".".join(parts) + ":" + digits(4)], ["[.]".join(parts)]][form]
+            parts = [str(number(1, 256)) for _ in range(4)]
+            six = [hexes(4) for _ in range(8)]
+            words = [[".".join(parts)], [".".join(parts) + ":" + digits(4)], ["[.]".join(parts)], [".".join(parts) + "/" + pick(["8", "16", "24", "32"])], [":".join(six)], [":".join(six[:3]) + "::" + six[3]]][form]
         elif kind == "card":
             parts = [pick("3456") + digits(3), digits(4), digits(4), digits(4)]
-            words = [parts, ["-".join(parts)], [".".join(parts)]][form]
+            amex = ["3" + pick("47") + digits(2), digits(6), digits(5)]
+            words = [parts, ["-".join(parts)], [".".join(parts)], ["/".join(parts)], amex, ["".join(parts)]][form]
         else:
             a, b, c = digits(3), digits(3), digits(4)
-            words = [[f"+{digits(2)}", a, b, c], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"]][form]
-        words[-1] += tail()
-        return [(w, kind) for w in words]
+            words = [[f"+{digits(2)}", a, b, c], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], ["0" + digits(2), digits(4), digits(4)], [f"({a})", b, c]][form]
+        words = [*words[:-1], words[-1] + tail()]
+        lead = [(pick(LEADS) + pick(["", "", ":"]), "O")] if draw() < 0.5 else []
+        return [*lead, *((w, kind) for w in words)]
 
     def plain() -> list[tuple[str, str]]:
-        form = int(rng.integers(16))
-        word = "".join(pick(list("abcdefghijklmnopqrstuvwxyzéèêçüñß")) for _ in range(int(rng.integers(1, 14))))
+        form = number(0, 18)
+        word = letters()
         if form < 9:
             word = pick([pick(PLAIN), word, word.capitalize(), word, word.upper()]) + tail()
+        elif form < 11:
+            word = pick([pick(LEADS), "dot", "at", pick(ENDS), "de", "es", pick(PLAIN), f"({letters(5)})"])
         else:
             word = [
-                digits(int(rng.integers(1, 5))), f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/{digits(4)}",
-                pick([word, word.capitalize(), word.upper()]) + pick(["%%%", "***", "###", "&&&", "$$$", "!!!"]), f"#{digits(int(rng.integers(1, 7)))}",
-            ][form - 9]
+                digits(number(1, 5)), f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/{digits(4)}",
+                pick([word, word.capitalize(), word.upper()]) + pick(["%%%", "***", "###", "&&&", "$$$", "!!!"]), pick([f"#{digits(number(1, 7))}", f"{digits(2)}:{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(number(5, 9))}"]),
+            ][form - 11]
         return [(word, "O")]
 
     lines = []
     for k in range(n):
         line: list[tuple[str, str]] = []
-        for _ in range(int(rng.integers(3, 14))):
+        for _ in range(number(3, 14)):
             line += plain()
-        if k % 3 == 0:
-            at = int(rng.integers(len(line) + 1))
+        if k % 2 == 0:
+            at = number(0, len(line) + 1)
             line[at:at] = said()
         lines.append(line)
     return lines
 
 
-def train(lines: list[list[tuple[str, str]]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Crf:
+def train(lines: list[list[tuple[str, str]]], rounds: int = 45, rate: float = 0.5, decay: float = 0.3) -> Crf:
     """Adagrad ascent on the regularised log-likelihood, by forward-backward over all lines at once."""
     text = "\n".join(" ".join(w for w, _ in line) for line in lines)
     words = Words(np.array([ord(c) for c in text], np.uint32), np.array([0, len(text)]))
@@ -269,7 +309,7 @@ def train(lines: list[list[tuple[str, str]]], rounds: int = 60, rate: float = 0.
     step = np.minimum(np.arange(most)[None], n[:, None] - 1) + at[:, None]
     real = np.arange(most)[None] < n[:, None]
     model = Crf(np.zeros((len(OFFSETS), PER_WORD, VOCABULARY, count)), np.zeros((count, count)))
-    seen_w, seen_m = np.full_like(model.weights, 1e-8), np.full_like(model.moves, 1e-8)
+    seen_w, seen_m = np.ones_like(model.weights), np.ones_like(model.moves)
     hot = np.eye(count)[gold]
     same = words.line[1:] == words.line[:-1]
     gold_moves = np.zeros((count, count))
@@ -297,7 +337,9 @@ def train(lines: list[list[tuple[str, str]]], rounds: int = 60, rate: float = 0.
             ok = (source >= 0) & (source < words.count)
             ok[ok] = words.line[source[ok]] == words.line[ok]
             for k in range(PER_WORD):
-                np.add.at(slope_w[o, k], words.features[source[ok], k], rest[ok])
+                at_ = words.features[source[ok], k]
+                for y in range(count):
+                    slope_w[o, k, :, y] += np.bincount(at_, rest[ok, y], VOCABULARY)
         seen_w += slope_w**2
         seen_m += slope_m**2
         model.weights += rate * slope_w / np.sqrt(seen_w)
@@ -306,9 +348,12 @@ def train(lines: list[list[tuple[str, str]]], rounds: int = 60, rate: float = 0.
 
 
 # ---- the operator ----------------------------------------------------------------------------------
-#: Added to O when decoding, so that only clear cases are added.
-MARGIN = 2.0
-TRIM = ".,;:!?"
+#: Added to O when decoding: more of it adds fewer spans.
+MARGIN = 0.0
+
+
+#: What a stretch of a kind holds at least: forms of "at" in an address, digits elsewhere. Stretches without are junk that the model never saw.
+HOLDS = {"email": re.compile(r"@|(?<![a-z])at(?![a-z])", re.I), "ip": re.compile(r"[0-9a-f][^.:]*[.:][^.:]*[.:]"), "card": re.compile(r"(?:[0-9][^0-9]*){12}"), "phone": re.compile(r"(?:[0-9][^0-9]*){7}")}
 
 
 def crf_spans(model: Crf, points: np.ndarray, first: np.ndarray, margin: float = MARGIN) -> list[list[tuple[str, int, int]]]:
@@ -325,15 +370,25 @@ def crf_spans(model: Crf, points: np.ndarray, first: np.ndarray, margin: float =
         while end > start and points[end - 1] < 128 and chr(points[end - 1]) in TRIM:
             end -= 1
         doc = int(np.searchsorted(first, start, side="right")) - 1
-        if end > start:
+        if end > start and (end - start > 200 or HOLDS[LABELS[labels[a]]].search("".join(map(chr, points[start:end])))):
             out[doc].append((LABELS[labels[a]], start - int(first[doc]), end - int(first[doc])))
     return out
 
 
+_default: list[Crf] = []
+
+
+def default_model() -> Crf:
+    """The model of the labelled table, trained once a process."""
+    if not _default:
+        _default.append(train(labelled_lines()).small())
+    return _default[0]
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Crf | None = None) -> DataFrame:
     """One row for each of docs: id_col, base and spans: arrays of struct(kind, start, end) by kind, then start."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model or train(labelled_lines())).small())
+    shared = docs.sparkSession.sparkContext.broadcast(model.small() if model else default_model())
     kind_of = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -220,11 +221,37 @@ def test_crf_decodes_like_whole_line_viterbi():
 
 
 def test_crf_held_out():
-    model, lines = pii.train(pii.labelled_lines()).small(), pii.labelled_lines(300, 99)
+    """Of the personal data in lines that training didn't see, at least 0.9 of each kind is found."""
+    model, lines = pii.default_model(), pii.labelled_lines(1500, 99)
     text = "\n".join(" ".join(w for w, _ in line) for line in lines)
     words = pii.Words(np.array([ord(c) for c in text], np.uint32), np.array([0, len(text)]))
     got, gold = model.decode(words, pii.MARGIN), np.array([pii.LABELS.index(y) for line in lines for _, y in line])
-    assert (got == gold).mean() > 0.97 and ((got > 0) & (gold == 0)).sum() <= 3
+    line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    said = [(k, gold[line == k].max()) for k in range(len(lines)) if gold[line == k].any()]
+    for kind in range(1, 5):
+        found = [bool(((got == kind) & (gold == kind) & (line == k)).any()) for k, y in said if y == kind]
+        assert sum(found) >= 0.9 * len(found) > 50, (pii.LABELS[kind], sum(found), len(found))
+    assert ((got > 0) & (gold == 0)).sum() <= 0.02 * (gold == 0).sum()
+
+
+def test_crf_on_forms_of_others():
+    cases = {"call 555.867.5309 today": ("phone", "555.867.5309"), "ring 020 7946 0958 please": ("phone", "020 7946 0958"), "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up": ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), "card 3782 822463 10005 ok": ("card", "3782 822463 10005")}
+    for text, want in cases.items():
+        spans = pii.crf_spans(pii.default_model(), np.array([ord(c) for c in text], np.uint32), np.array([0, len(text)]))[0]
+        assert [(k, text[a:b]) for k, a, b in spans] == [want]
+    for text in ("The year 2024 was good, at 12:30:45 on 2024-01-02", "version 1.2 of the report is de facto at home"):
+        assert pii.crf_spans(pii.default_model(), np.array([ord(c) for c in text], np.uint32), np.array([0, len(text)]))[0] == []
+
+
+def test_base_patterns_take_time_in_proportion_to_the_text():
+    for text in ("1" * 1_000_000, "1." * 300_000, "+1" + "(" * 500_000, "a@" * 300_000, "1 " * 300_000, "9.9.9" * 200_000):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 10, text[:20]
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("0125.. a") for _ in range(rng.randrange(40)))
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in pii.IP.finditer(text)]
 
 
 def test_chat_folds_events_and_round_trips(spark):
