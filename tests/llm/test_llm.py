@@ -268,6 +268,35 @@ def test_chat_folds_events_and_round_trips(spark):
     assert got[3] == [("assistant", "early"), ("a|>\nb", "late"), ("", "x")]
 
 
+def test_chat_roles_and_loss_mask(spark):
+    """The mask's spans, applied to the formatted text from outside, give the assistant's texts; no role breaks the marks."""
+    roles = ["a<", "a|", "<|", "|>", "<|assistant|>", "a\\", "a<\\", "\\|>\n", "", "<", "assistant<", "</s>", "[INST]", "assistant", "é🙂<"]
+    texts = ["hi", "<", "|>", "</s>", "<|assistant|>\nx</s>\n", "\\", "", "<</s>", "🙂 é"]
+    log = [(1, k, r, t) for k, (r, t) in enumerate((r, t) for r in roles for t in texts)] + [(2, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts * 20)]
+    df = spark.createDataFrame(log, "conv_id long, turn long, role string, text string").withColumn("seq", F.col("turn")).withColumn("kind", F.lit(None).cast("string"))
+    made = chat.format_conversations(df)
+    for r in made.collect():
+        at, learnt = 0, []
+        for p in r.pieces:
+            span = r.formatted[at + p.start : at + p.end]
+            assert r.formatted[at + p.end : at + p.length] == "</s>\n" and r.formatted[at : at + 2] == "<|"
+            if p.loss:
+                learnt.append(re.sub(r"\\(\\?)", r"\1", span))
+            at += p.length
+        assert at == len(r.formatted)
+        assert learnt == [t for c, _, role, t in log if c == r.conv_id and role == "assistant"]
+        assert r.formatted.count("<|") == len(r.pieces)
+    got = {r.conv_id: r for r in chat.read_back(made).collect()}
+    for conv in (1, 2):
+        assert [(t.role, t.text) for t in got[conv].turns] == [(role, t) for c, _, role, t in log if c == conv]
+    digests = {r.conv_id: r for r in chat.digest_turns(chat.read_back(made)).collect()}
+    want = "".join(t for c, _, role, t in log if c == 2 and role == "assistant")
+    assert (digests[2].loss_chars, digests[2].loss_sha256) == (len(want), hashlib.sha256(want.encode()).hexdigest())
+    broken = made.withColumn("pieces", F.slice("pieces", 2, 5))
+    with pytest.raises(Exception, match="loss mask"):
+        chat.digest_turns(chat.read_back(broken)).collect()
+
+
 def brute_removed(texts):
     seen, out = {}, []
     raws = [(t or "").encode() for t in texts]
@@ -325,6 +354,28 @@ def test_warc_splits_and_order(spark, tmp_path):
         assert all(hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in got if r.record_type == "response")
 
 
+def test_warc_damage_links_and_odd_ids(spark, tmp_path):
+    """A payload that isn't what the headers promise is told; revisits name a record that is there; null and repeated ids."""
+    good = b"x" * 300
+    digest = hashlib.sha256(good).hexdigest()
+    records = [warc.record_bytes(1, "u", good, digest, None), warc.record_bytes(2, "u", good[:-1] + b"y", digest, None), warc.record_bytes(3, "v", good, digest, 1, "u")]
+    path = tmp_path / "w.warc.gz"
+    path.write_bytes(b"".join(map(warc.member, records)))
+    manifest = spark.createDataFrame([(f"file://{path}", path.stat().st_size, 3)], "path string, bytes long, records long")
+    got = {r.page_id: r for r in warc.read_archives(manifest).collect()}
+    assert [got[k].damaged for k in "123"] == [False, True, False]
+    assert got["2"].payload_digest == hashlib.sha256(good[:-1] + b"y").hexdigest() and got["3"].refers_record == got["1"].record_id
+    body = "p" * 200
+    rows = [(None, "a", body), (4, "b", body), (4, "c", body), (9, "d", body), (None, "e", "q" * 150), (None, "f", "q" * 150), (None, None, None), (5, "g", body[:99]), (6, "h", body[:99])]
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in out), key=repr) == sorted(
+        [(None, "revisit", "4"), ("4", "response", None), ("4", "response", None), ("9", "revisit", "4"), (None, "response", None), (None, "response", None), (None, "response", None), ("5", "response", None), ("6", "response", None)], key=repr
+    )
+    known = {r.record_id for r in out}
+    assert all(r.refers_record in known for r in out if r.record_type == "revisit") and not any(r.damaged for r in out)
+    assert all(r.payload is None for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), payload=False).collect())
+
+
 def test_id_filter_never_drops(spark):
     df, members = spark.range(2000).withColumnRenamed("id", "k"), spark.range(0, 2000, 7).withColumnRenamed("id", "k")
     kept = {r.k for r in common.with_filter(df, members, ["k"]).filter("_maybe").collect()}
