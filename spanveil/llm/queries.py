@@ -74,7 +74,7 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = archive_pages(table(spark, sf_dir, "pages"))
+    read = archive_pages(table(spark, sf_dir, "pages"), payload=False)
     return read.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

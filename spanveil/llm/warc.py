@@ -10,7 +10,11 @@ start inside its range and reads past its end to finish the last. After a record
 record's end, so magic bytes inside a member are not taken for one.
 
 Equal payloads of at least `least` bytes: the record of the smallest page id is the response, the
-others are revisits without a body that name it.
+others are revisits without a body that name its record and its page. Which they are is decided on ids and
+digests; pages whose payload surely stands alone don't shuffle.
+
+Sizes and digests of responses are those of the payload as it was read, and `damaged` says where they
+aren't those that the headers promise; a revisit has no payload, so its headers' are taken.
 
 Cases: null html is an empty payload; null url is written as an empty target; line breaks in a url
 are percent-coded; rows that repeat a page id with the same payload are all responses if theirs is the
@@ -20,6 +24,7 @@ Only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import uuid
 import zlib
@@ -30,7 +35,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import bounded_batches, fresh_path, join_hot, shared_dir, stage
+from spanveil.llm.common import bounded_batches, fresh_path, join_hot, shared_dir, stage, with_filter
 
 LEAST_BYTES = 100
 #: An archive is closed beyond so many compressed bytes.
@@ -38,7 +43,7 @@ ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
 MAGIC = b"\x1f\x8b\x08"
 READ_AHEAD = 1 << 18
-PAGE, SIZE = "WARC-X-Page-Id", "WARC-X-Payload-Length"
+PAGE, SIZE, REFERS = "WARC-X-Page-Id", "WARC-X-Payload-Length", "WARC-X-Refers-To-Page-Id"
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -47,27 +52,38 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def record_types(pages: DataFrame, id_col: str, html_col: str, url_col: str, least: int) -> DataFrame:
-    """_id, _url, _html, _digest, _refers (null for responses)."""
+    """_id, _url, _html, _digest, _refers and _refers_url (page id and url of the response; null for responses)."""
     rows = pages.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url_col), F.lit("")).alias("_url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("_html"))
-    keys = stage(rows.select("_id", F.sha2("_html", 256).alias("_digest"), F.length("_html").alias("_len")), "warc-digests")
-    groups = keys.filter(F.col("_len") >= least).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    rows = rows.withColumn("_digest", F.sha2("_html", 256))
-    joined = join_hot(rows, groups, "_digest", "_n", keys.count(), "_id", "left")
-    return joined.withColumn("_refers", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first"))).select("_id", "_url", "_html", "_digest", "_refers")
+    keys = stage(rows.select("_id", "_url", F.sha2("_html", 256).alias("_digest"), F.length("_html").alias("_len")), "warc-digests")
+    first = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_url"))).alias("_first")
+    groups = stage(keys.filter(F.col("_len") >= least).groupBy("_digest").agg(first, F.count("*").alias("_n")).filter("_n > 1 and _first is not null"), "warc-groups")
+    probed = with_filter(rows.withColumn("_digest", F.sha2("_html", 256)), groups, ["_digest"])
+    none = [F.lit(None).cast(rows.schema["_id"].dataType).alias("_refers"), F.lit(None).cast("string").alias("_refers_url")]
+    alone = probed.filter("not _maybe").select("_id", "_url", "_html", "_digest", *none)
+    joined = join_hot(probed.filter("_maybe").drop("_maybe"), groups, "_digest", "_n", keys.count(), "_id", "left")
+    other = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first._id"))
+    return alone.unionByName(joined.select("_id", "_url", "_html", "_digest", F.when(other, F.col("_first._id")).alias("_refers"), F.when(other, F.col("_first._url")).alias("_refers_url")))
+
+
+def record_id(page_id: object, url: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{"" if page_id is None else page_id} {digest} {url}')}>"
+
 
+def _line(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
 
-def record_bytes(page_id: object, url: str, payload: bytes, digest: str, refers: object) -> bytes:
+
+def record_bytes(page_id: object, url: str, payload: bytes, digest: str, refers: object, refers_url: str | None = None) -> bytes:
     """One WARC record, uncompressed."""
-    target = url.replace("\r", "%0D").replace("\n", "%0A")
-    name = "" if page_id is None else str(page_id)
-    urn = uuid.uuid5(uuid.NAMESPACE_URL, f"{name} {digest} {url}")
     body = b"" if refers is not None else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{urn}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {target}",
-        f"WARC-Payload-Digest: sha256:{digest}", f"{PAGE}: {name}", f"{SIZE}: {len(payload)}", "Content-Type: application/http; msgtype=response",
+        "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_line(url)}",
+        f"WARC-Payload-Digest: sha256:{digest}", f"{PAGE}: {'' if page_id is None else page_id}", f"{SIZE}: {len(payload)}", "Content-Type: application/http; msgtype=response",
     ]
     if refers is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        target = refers_url or ""
+        head += [f"WARC-Refers-To: {record_id(refers, target, digest)}", f"WARC-Refers-To-Target-URI: {_line(target)}", "WARC-Refers-To-Date: 1970-01-01T00:00:00Z", f"{REFERS}: {refers}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
 
 
@@ -77,18 +93,18 @@ def member(record: bytes) -> bytes:
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """records: _id, _url, _html, _digest, _refers. Returns the manifest: path, bytes, records."""
+    """records: see record_types. Returns the manifest: path, bytes, records."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         out, name, size, n = None, "", 0, 0
         for batch in batches:
-            for page_id, url, html, digest, refers in zip(batch["_id"], batch["_url"], batch["_html"], batch["_digest"], batch["_refers"], strict=True):
+            for page_id, url, html, digest, refers, refers_url in zip(*(batch[c] for c in ("_id", "_url", "_html", "_digest", "_refers", "_refers_url")), strict=True):
                 if out is None:
                     name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(posixpath.join(base, name), compression=None)
-                data = member(record_bytes(page_id, url, bytes(html), digest, refers))
+                data = member(record_bytes(page_id, url, bytes(html), digest, refers, refers_url))
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= ARCHIVE_BYTES:
@@ -99,7 +115,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "bytes": [size], "records": [n]})
 
-    as_text = records.select(F.col("_id").cast("string"), "_url", "_html", "_digest", F.col("_refers").cast("string"))
+    as_text = records.select(F.col("_id").cast("string"), "_url", "_html", "_digest", F.col("_refers").cast("string"), "_refers_url")
     return stage(as_text.mapInPandas(write, "path string, bytes long, records long"), "warc-manifest")
 
 
@@ -169,11 +185,23 @@ def records_in_range(file: object, size: int, start: int, end: int) -> Iterator[
         at = found[1]
 
 
-def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """path, offset, record_type, page_id (string), refers_to (string), payload_bytes, payload_digest, url, payload (binary)."""
+def read_record(headers: dict[str, str], block: bytes) -> tuple[str, str | None, str | None, str, str | None, int, str, bool, str, bytes]:
+    """record_type, page_id, refers_to, record_id, refers_record, payload_bytes, payload_digest, damaged, url, payload."""
+    kind, payload = headers["warc-type"], block.partition(b"\r\n\r\n")[2]
+    size, digest = int(headers[SIZE.lower()]), headers["warc-payload-digest"].removeprefix("sha256:")
+    # A block that ends before its promised length is damaged, too.
+    damaged = len(block) != int(headers["content-length"])
+    if kind == "response":
+        damaged |= (len(payload), hashlib.sha256(payload).hexdigest()) != (size, digest)
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    return kind, headers[PAGE.lower()] or None, headers.get(REFERS.lower()), headers["warc-record-id"], headers.get("warc-refers-to"), size, digest, damaged, headers.get("warc-target-uri", ""), payload
+
+
+def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payload: bool = True) -> DataFrame:
+    """path, offset, record_type, page_id (string), refers_to (string), record_id, refers_record, payload_bytes, payload_digest, damaged, url, payload (binary; null if not asked for)."""
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.repartition(max(1, min(10_000, ranges.count())), "path", "start")
-    schema = "path string, offset long, record_type string, page_id string, refers_to string, payload_bytes long, payload_digest string, url string, payload binary"
+    schema = "path string, offset long, record_type string, page_id string, refers_to string, record_id string, refers_record string, payload_bytes long, payload_digest string, damaged boolean, url string, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,10 +211,9 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
                 with fs.open_input_file(name) as file:
                     rows, held = [], 0
                     for offset, h, block in records_in_range(file, size, start, min(start + range_bytes, size)):
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        refers = h.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">") or None
-                        rows.append((path, offset, h["warc-type"], h[PAGE.lower()] or None, refers, int(h[SIZE.lower()]), h["warc-payload-digest"].removeprefix("sha256:"), h.get("warc-target-uri", ""), payload))
-                        held += len(payload)
+                        *found, body = read_record(h, block)
+                        rows.append((path, offset, *found, body if payload else None))
+                        held += 200 + (len(body) if payload else 0)
                         if held > 4 << 20:
                             yield pd.DataFrame(rows, columns=names)
                             rows, held = [], 0
@@ -196,9 +223,9 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     return ranges.mapInPandas(read, schema)
 
 
-def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
+def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES, payload: bool = True) -> DataFrame:
     """Writes pages and reads them back: see read_archives."""
     bounded_batches(pages.sparkSession)
     folder = fresh_path(pages.sparkSession, "warc")
     assert folder.startswith(shared_dir(pages.sparkSession))
-    return read_archives(write_archives(record_types(pages, id_col, html_col, url_col, least), folder))
+    return read_archives(write_archives(record_types(pages, id_col, html_col, url_col, least), folder), payload=payload)
