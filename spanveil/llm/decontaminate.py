@@ -1,16 +1,18 @@
 """Benchmark decontamination with a distributed positional inverted index. Native DataFrame code only.
 
-Items are cut into phrases (windows of `n` words; a shorter item is one phrase). The index holds the
-training text's postings (term, document, position) for the probe terms: the two rarest of each
-phrase, by counts over all training words. The rarest is the anchor, and its postings also hold the
-words around them. Postings are written to the shared folder.
+Items are cut into phrases (windows of `n` words; a shorter item is one phrase). A phrase's terms are
+ranked by their counts over all training words. The index holds postings (term, document, position) of
+the terms that are among the two rarest of a phrase, over the whole training text, in the shared folder.
 
-Exact phrases: the anchor's list, moved by its offset in the phrase, is intersected with the second
-rarest term's list, moved by its own; what is left is confirmed against the anchor's neighbourhood.
-Proximity: all words of the phrase within n + slop consecutive words around the anchor.
+Exact phrases: the rarest term's list, moved by its offset in the phrase, is intersected with the second
+rarest's, moved by its own. That leaves few candidates; the lists of the other terms are made for the
+documents that hold one, moved by their offsets and intersected too: where all lists meet, the phrase is.
+Proximity: the lists of a phrase's terms around each posting of its rarest; all must meet within n + slop
+consecutive words.
 
-Sizes: the phrase and term tables grow with the benchmark, not with the training text. They are
-broadcast up to BROADCAST_ROWS rows and joined by shuffle beyond.
+Every row that shuffles is a posting: no text and no word list travels with it. The phrase and term tables
+grow with the benchmark, not with the training text. They are broadcast up to BROADCAST_ROWS rows and
+joined by shuffle beyond.
 
 Cases: null text has no words; an item without words has no phrases; repeated rows of a document or
 an item count as one match each; rows that share an id but not a text are told apart by the text's
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import ascii_lower, stage
+from spanveil.llm.common import ascii_lower, settled, stage, with_filter
 
 #: What separates words before A-Z are folded. Splitting is over twice as fast as extracting matches.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -60,57 +62,78 @@ class PhraseIndex:
         tokens = self.rows.select(F.explode(word_list(F.col("_t"))).alias("_raw")).select(ascii_lower(F.col("_raw")).alias("_term"))
 
         offsets = phrases.select("_key", F.posexplode("_words").alias("_off", "_term"))
-        vocabulary = stage(offsets.select("_term").distinct(), "decon-terms")
-        counts = tokens.join(_side(vocabulary, vocabulary.count()), "_term").groupBy("_term").agg(F.count("*").alias("_count"))
+        self.vocabulary = stage(offsets.select("_term").distinct(), "decon-terms")
+        self.n_terms = self.vocabulary.count()
+        counts = tokens.join(_side(self.vocabulary, self.n_terms), "_term").groupBy("_term").agg(F.count("*").alias("_count"))
         # Rarest first; a term that the training text lacks rules its phrase out.
-        ranked = offsets.join(counts, "_term", "left").groupBy("_key").agg(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("count"), F.col("_off").alias("off"), F.col("_term").alias("term")))).alias("_by_rarity"), F.count("*").alias("_len")
+        ranked = offsets.join(_side(counts, self.n_terms), "_term", "left").groupBy("_key").agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("count"), F.col("_off").alias("off"), F.col("_term").alias("term")))).alias("_by_rarity"), F.count("*").cast("int").alias("_len")
         )
-        second = F.element_at("_by_rarity", F.least(F.lit(2), F.size("_by_rarity")))
-        first = F.col("_by_rarity")[0]
-        probes = ranked.filter(first["count"] > 0).select(
-            "_key", F.col("_len").cast("int").alias("_len"), first["term"].alias("_term"), first["off"].alias("_off"), second["term"].alias("_term2"), second["off"].alias("_off2")
-        )
-        self.probes = stage(probes, "decon-probes")
-        self.n_probes = self.probes.count()
-        terms = self.probes.select("_term", F.lit(True).alias("_anchor")).unionByName(self.probes.select(F.col("_term2").alias("_term"), F.lit(False).alias("_anchor")))
-        terms = terms.groupBy("_term").agg(F.max("_anchor").alias("_anchor"))
-        terms = terms.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("_term"), F.lit(False).alias("_anchor")))
-        self.reach = n - 1 + slop
-        listed = self.rows.select("_id", F.xxhash64("_t").alias("_h"), F.concat(word_list(F.col("_t")), F.array(F.lit(END))).alias("_w"))
-        located = listed.select("_id", "_h", "_w", F.posexplode("_w").alias("_pos", "_raw")).withColumn("_term", ascii_lower(F.col("_raw")))
-        around = F.slice("_w", F.greatest(F.col("_pos") - self.reach, F.lit(0)) + 1, F.lit(2 * self.reach + 1))
-        hits = located.join(_side(terms, self.n_probes * 2), "_term")
-        # A string, joined and folded by generated code: with a higher-order function here, each row would be copied with its document's word list.
-        hits = hits.select("_term", "_id", "_h", "_pos", F.when(F.col("_anchor"), ascii_lower(F.array_join(around, " "))).alias("_around"))
-        self.postings = stage(hits, "decon-postings")
+        self.ranked = stage(ranked.filter(F.col("_by_rarity")[0]["count"] > 0), "decon-ranked")
+        self.n_ranked = self.ranked.count()
+        two = self.ranked.select(F.explode(F.slice("_by_rarity", 1, 2)).alias("x")).select(F.col("x.term").alias("_term")).distinct()
+        terms = two.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("_term")))
+        self.postings = stage(self._list(self.rows, terms, 2 * self.n_ranked), "decon-postings")
+
+    @staticmethod
+    def _list(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+        """Postings of terms in rows (_id, _t): _term, _id, _h, _pos. END stands at the number of words."""
+        words = rows.select("_id", F.xxhash64("_t").alias("_h"), F.posexplode(F.concat(word_list(F.col("_t")), F.array(F.lit(END)))).alias("_pos", "_raw"))
+        return words.select(ascii_lower(F.col("_raw")).alias("_term"), "_id", "_h", "_pos").join(_side(terms, n_terms), "_term")
 
     def documents(self) -> DataFrame:
         """_id, _h, _n (words), a row for each row of docs."""
         return self.postings.filter(F.col("_term") == END).select("_id", "_h", F.col("_pos").cast("long").alias("_n"))
 
-    def _candidates(self) -> DataFrame:
-        """Anchor postings moved to phrase starts; _lead words of _around come before the anchor."""
-        anchors = self.postings.filter("_around is not null").join(_side(self.probes, self.n_probes), "_term")
-        anchors = anchors.withColumn("_around", F.split("_around", " "))
-        return anchors.withColumn("_start", F.col("_pos") - F.col("_off")).withColumn("_lead", F.least(F.col("_pos"), F.lit(self.reach)))
+    def _rank(self, k: int) -> DataFrame:
+        """Of each phrase: _key, _len and the k-th rarest term with its offset, none if the phrase is shorter."""
+        return self.ranked.filter(F.col("_len") > k).select("_key", "_len", F.col("_by_rarity")[k]["term"].alias("_term"), F.col("_by_rarity")[k]["off"].alias("_off"))
+
+    def _lists_of(self, found: DataFrame) -> DataFrame:
+        """Postings of all phrases' terms in the documents that found names (_h)."""
+        held = with_filter(self.rows.withColumn("_h", F.xxhash64("_t")), found, ["_h"]).filter("_maybe").select("_id", "_t")
+        return self._list(held, self.vocabulary, self.n_terms)
+
+    @staticmethod
+    def _meet(wanted: DataFrame, lists: DataFrame) -> DataFrame:
+        """Rows of wanted (_term, _id, _h, _pos, ...) that lists have a posting for."""
+        place = lists.select(F.col("_term").alias("t"), F.col("_h").alias("h"), F.col("_pos").alias("p"), F.col("_id").alias("i"))
+        return wanted.join(place, (F.col("_term") == F.col("t")) & (F.col("_h") == F.col("h")) & (F.col("_pos") == F.col("p")) & F.col("_id").eqNullSafe(F.col("i")), "left_semi")
 
     def exact(self) -> DataFrame:
         """_id, _h, _key, _start, _end (exclusive) of every occurrence of a phrase."""
-        found = self._candidates().filter("_start >= 0").withColumn("_pos2", F.col("_start") + F.col("_off2"))
-        other = self.postings.select(F.col("_term").alias("_term2"), "_h", F.col("_pos").alias("_pos2"), F.col("_id").alias("_id2"))
-        both = found.join(other, [found["_term2"] == other["_term2"], found["_h"] == other["_h"], found["_pos2"] == other["_pos2"], found["_id"].eqNullSafe(other["_id2"])], "left_semi")
-        same = F.array_join(F.slice("_around", F.greatest(F.col("_lead") - F.col("_off"), F.lit(0)) + 1, F.col("_len")), " ") == F.col("_key")
-        return both.filter(same).select("_id", "_h", "_key", "_start", (F.col("_start") + F.col("_len")).alias("_end")).distinct()
+        first, second = self._rank(0), self._rank(1).select("_key", F.col("_term").alias("_term2"), F.col("_off").alias("_off2"))
+        begun = self.postings.join(_side(first, self.n_ranked), "_term").select("_id", "_h", "_key", "_len", (F.col("_pos") - F.col("_off")).alias("_start")).filter("_start >= 0").distinct()
+        both = begun.join(_side(second, self.n_ranked), "_key", "left")
+        place = ["_id", "_h", "_key", "_len", "_start"]
+        alone = both.filter("_term2 is null").select(*place)
+        met = self._meet(both.filter("_term2 is not null").select(*place, F.col("_term2").alias("_term"), (F.col("_start") + F.col("_off2")).alias("_pos")), self.postings).select(*place)
+        found = stage(alone.unionByName(met), "decon-candidates")
+        others = self.ranked.select("_key", F.explode(F.slice("_by_rarity", F.lit(3), F.greatest(F.col("_len") - 2, F.lit(0)))).alias("x")).select("_key", F.col("x.term").alias("_term"), F.col("x.off").alias("_off"))
+        wanted = found.filter("_len > 2").join(_side(others, self.n_ranked * self.n), "_key").select(*place, "_term", (F.col("_start") + F.col("_off")).alias("_pos"))
+        whole = self._meet(wanted, self._lists_of(found.filter("_len > 2"))).groupBy(*place).agg(F.count("*").alias("_met")).filter("_met = _len - 2").select(*place)
+        return found.filter("_len <= 2").unionByName(whole).select("_id", "_h", "_key", "_start", (F.col("_start") + F.col("_len")).alias("_end"))
 
     def near(self) -> DataFrame:
-        """_id, _h, _key, _pos of the anchor: all words of the phrase within its length plus slop words."""
+        """_id, _h, _key, _pos of a phrase's rarest term: all words of the phrase are within its length plus slop words there."""
         span = F.col("_len") + self.slop
-        words = F.split("_key", " ")
-        inside = F.exists(F.sequence(F.greatest(F.col("_lead") - span + 1, F.lit(0)), F.col("_lead")), lambda s: F.size(F.array_except(words, F.slice("_around", s + 1, span))) == 0)
-        return self._candidates().filter(inside).select("_id", "_h", "_key", "_pos").distinct()
+        anchors = stage(self.postings.join(_side(self._rank(0), self.n_ranked), "_term").select("_id", "_h", "_key", "_len", F.col("_pos").alias("_at")).distinct(), "decon-anchors")
+        around = anchors.select("*", F.explode(F.sequence(F.greatest(F.col("_at") - span + 1, F.lit(0)), F.col("_at") + span - 1)).alias("_pos"))
+        lists = self._lists_of(anchors).distinct()
+        same = [around["_h"] == lists["_h"], around["_pos"] == lists["_pos"], around["_id"].eqNullSafe(lists["_id"])]
+        met = around.join(lists, same).select(around["_id"], around["_h"], "_key", "_len", "_at", around["_pos"], "_term")
+        # At most 2 (n + slop) words stand around a posting.
+        words = met.groupBy("_id", "_h", "_key", "_len", "_at").agg(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col("_term").alias("term"))).alias("_ws"))
+
+        def holds(s: Column) -> Column:
+            there = F.transform(F.filter("_ws", lambda w: (w["pos"] >= s) & (w["pos"] < s + span)), lambda w: w["term"])
+            return F.size(F.array_except(F.split("_key", " "), there)) == 0
+
+        inside = F.exists(F.sequence(F.greatest(F.col("_at") - span + 1, F.lit(0)), F.col("_at")), holds)
+        return words.filter(inside).select("_id", "_h", "_key", F.col("_at").alias("_pos"))
 
 
+@settled
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each of docs: id_col, n_words, n_hit, items (sorted item ids as strings), spans (array of struct(start, end) in words), contaminated."""
     index = PhraseIndex(docs, items, n, 0, id_col, text_col, item_col, item_text)

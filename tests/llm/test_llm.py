@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanveil.llm import chat, common, licences, minhash, mixing, pii, queries, suffix, textnum, warc
+from spanveil.llm import decontaminate as decontaminate_module
 from spanveil.llm.decontaminate import PhraseIndex, decontaminate
+from spanveil.llm import exact_dedup as exact_dedup_module
 from spanveil.llm.exact_dedup import MergeIndex, exact_dedup
 from spanveil.llm.graph import components
 from spanveil.llm.langid import predict, train
@@ -65,11 +67,17 @@ def test_exact_dedup_equals_brute_force_even_with_colliding_digests(spark):
                 assert (r.keep_id, r.group_size, r.kept) == (pick(ids), len(ids), r.doc_id == pick(ids))
 
 
-def test_merge_index_compacts_levels(spark):
-    index = MergeIndex(spark)
-    for k in range(5):
-        index.flush(spark.range(k, k + 3).select(F.col("id").alias("_id"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("_d")))
-    assert len(index.levels) == 2 and {(r._low, r._n) for r in index.compact().collect()} == {(0, 1), (1, 2), (2, 3), (3, 3), (4, 3), (5, 2), (6, 1)}
+def test_merge_index_flushes_filters_and_compacts(spark, monkeypatch):
+    """Many flushes fill levels; filters of one bit, which know everything, and of many change nothing."""
+    for bits in (1, 1 << 23):
+        monkeypatch.setattr(exact_dedup_module, "RUN_FILTER_BITS", bits)
+        index = MergeIndex(spark)
+        for k in range(3):
+            rows = spark.range(3 * k, 3 * k + 5).selectExpr("id as _id", "unhex(sha2(cast(id as string), 256)) as _d", "cast(id % 3 as int) as _m")
+            index.flush(rows)
+        assert len(index.levels) == 2 and [len(x) for x in index.levels] == [1, 2]
+        assert {(r._low, r._high, r._n) for r in index.compact().collect()} == {(k, k, 2 if k in (3, 4, 6, 7) else 1) for k in range(11)}
+        assert sum(map(len, index.levels)) == 1
 
 
 def test_null_ids_and_empty_tables(spark):
@@ -185,6 +193,23 @@ def test_decontamination_equals_brute_force(spark):
         assert (r.n_words, r.n_hit, r.items, r.contaminated) == (len(w), len(hit), sorted(seen), bool(hit)), t
 
 
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    """Beyond the broadcast bound postings alone shuffle, so long texts cost what their words cost."""
+    monkeypatch.setattr(decontaminate_module, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(9)
+        item = prose(rng, 14)
+        texts = [prose(rng, 50_000), prose(rng, 30_000) + " " + item + " " + prose(rng, 20_000), item]
+        index = PhraseIndex(frame(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string"))
+        plan = index._list(index.rows, index.vocabulary, 1)._jdf.queryExecution().executedPlan().toString()
+        assert not any("array<" in line or "_w" in line for line in plan.splitlines() if "Exchange" in line)
+        got = {r.doc_id: r for r in decontaminate(frame(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+        assert [(got[k].n_words, got[k].n_hit) for k in (1, 2, 3)] == [(50_000, 0), (50_014, 14), (14, 14)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = frame(spark, ["alpha beta gamma delta", "alpha beta x gamma delta", "delta gamma beta alpha", "alpha beta x x x x gamma delta", "alpha beta gamma"])
