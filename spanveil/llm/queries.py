@@ -163,12 +163,19 @@ l AS (SELECT *, (sum(words) OVER () - coalesce(sum(words * 3) OVER (ORDER BY wor
     / sum(weight) OVER (ORDER BY words * 3 / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM r),
 w AS (SELECT *, max(CASE WHEN words * 3 / weight >= lev THEN lev END) OVER () AS water FROM l),
 t AS (SELECT source, docs, words, least(words * 3.0::DOUBLE, coalesce(water * weight, 0)) AS target FROM w),
-b AS (SELECT greatest(1, least(1024, sum(words)::BIGINT // 1048576)) AS block FROM s),
-p AS (SELECT d.*, t.docs, t.words, t.target, b.block, ('0x' || substr(h, 1, 8))::BIGINT % ((t.docs + 511) // 512) AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, b),
-q AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto,
-    sum(size) OVER (PARTITION BY source, shard)::BIGINT AS ln, min(h) OVER (PARTITION BY source, shard) AS st FROM p),
-n AS (SELECT *, upto - size AS frm, greatest(1, (ln + block - 1) // block) AS nb, CASE WHEN words > 0 THEN target * ln / words ELSE 0 END AS vote FROM q),
-m AS (SELECT *, least(floor(vote / block + 0.5)::BIGINT, nb * 3) AS quota, ('0x' || substr(st, 9, 8))::BIGINT % nb AS off, frm // block AS b0, (upto - 1) // block AS b1 FROM n),
+b AS (SELECT source, words, target, sh, greatest(1, least(1024, floor(least(words, target) / (sh * 2048))))::BIGINT AS block FROM (SELECT *, least((docs + 511) // 512, 4096) AS sh FROM t)),
+p AS (SELECT d.*, b.words, b.target, b.block, ('0x' || substr(h, 1, 8))::BIGINT % sh AS shard FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+g AS (SELECT source, shard, words, target, block, sum(size)::BIGINT AS ln, min(h) AS st FROM p GROUP BY ALL),
+v AS (SELECT *, greatest(1, (ln + block - 1) // block) AS nb, CASE WHEN words > 0 THEN target * ln / words ELSE 0 END AS vote FROM g),
+e AS (SELECT *, least(floor(vote / block + 0.5)::BIGINT, nb * 3) AS seats FROM v),
+o AS (SELECT *, floor(target / block + 0.5)::BIGINT - sum(seats) OVER (PARTITION BY source)::BIGINT AS room FROM e),
+k AS (SELECT source, shard, vote, seats, room, nb, unnest(CASE WHEN room > 0 THEN range(0, seats // 2048 + 2) WHEN room < 0 AND seats > 0 THEN range(0, least(seats // 2048 + 1, seats - 1) + 1) ELSE [] END) AS j FROM o),
+f AS (SELECT source, shard, room, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN room > 0 THEN -vote / (2 * (seats + j) + 1) ELSE vote / (2 * (seats - j) - 1) END, CASE WHEN room > 0 THEN shard ELSE -shard END, j) AS line FROM k WHERE room < 0 OR seats + j < nb * 3),
+z AS (SELECT source, shard, sum(sign(room))::BIGINT AS won FROM f WHERE line <= abs(room) GROUP BY ALL),
+c AS (SELECT o.source, o.shard, nb, st, seats + coalesce(won, 0) AS quota FROM o LEFT JOIN z ON o.source IS NOT DISTINCT FROM z.source AND o.shard = z.shard),
+q AS (SELECT p.*, nb, st, quota, sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source AND p.shard = c.shard),
+n AS (SELECT *, upto - size AS frm FROM q),
+m AS (SELECT *, ('0x' || substr(st, 9, 8))::BIGINT % nb AS off, frm // block AS b0, (upto - 1) // block AS b1 FROM n),
 x AS (SELECT *, quota // nb AS wh, quota % nb AS rest FROM m),
 y AS (SELECT *, (b0 * rest + off) // nb AS f0, ((b0 + 1) * rest + off) // nb AS f1, (b1 * rest + off) // nb AS g0, ((b1 + 1) * rest + off) // nb AS g1 FROM x)
 SELECT doc_id, size, words AS source_size, target,

@@ -120,6 +120,45 @@ def test_mixing_targets_and_limits(spark):
     assert all(abs(taken[s] - target[s]) <= 3 for s in size)
 
 
+def test_seats_are_those_of_the_highest_quotients(spark, monkeypatch):
+    """Against a plain Sainte-Laguë apportionment, with shards of very different lengths and ties."""
+    rng = random.Random(7)
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 4)
+    rows, want = [], {}
+    for k in range(12):
+        lengths = [rng.choice([10, 10, 17, 40, 300]) for _ in range(rng.randint(1, 30))]
+        words, block = sum(lengths), rng.choice([1, 3, 7])
+        target = words * rng.choice([0.31, 0.5, 1.0, 1.7])
+        votes = [target * n / words for n in lengths]
+        seats = [0] * len(lengths)
+        for _ in range(int(target / block + 0.5)):
+            open_ = [x for x in range(len(lengths)) if seats[x] < 3 * max(1, -(-lengths[x] // block))]
+            seats[max(open_, key=lambda x: (votes[x] / (2 * seats[x] + 1), -x))] += 1
+        rows += [(f"s{k}", x, n, words, target, block) for x, n in enumerate(lengths)]
+        want |= {(f"s{k}", x): n for x, n in enumerate(seats)}
+    got = mixing.shard_seats(spark.createDataFrame(rows, "_k string, _shard long, _len long, _words long, _target double, _b long"))
+    assert {(r._k, r._shard): r._quota for r in got.collect()} == want
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(8)
+    words = {f"s{k:04}": rng.choice([0, 1, 5, 1000, 10**6]) for k in range(300)} | {None: 7}
+    rows = [(s, 1, n) for s, n in words.items()]
+    rng.shuffle(rows)
+    weight = {s: k % 3 + 1 for k, s in enumerate(sorted(words, key=lambda s: (s is None, s)))}
+    free, want = set(words), {}
+    while True:
+        level = (sum(words.values()) - sum(want.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 3 * words[s]]
+        if not over:
+            break
+        want |= {s: 3 * words[s] for s in over}
+        free -= set(over)
+    want |= {s: level * weight[s] for s in free}
+    got = {r._source: r._target for r in mixing.source_targets(spark.createDataFrame(rows, "_source string, _docs long, _words long")).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_language_id_held_out(spark):
     out = queries.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").filter("held_out")
     right, n = out.agg(F.count_if(F.expr("lang = lang_pred")), F.count("*")).first()
@@ -462,7 +501,6 @@ def test_pipeline_near_dedup_links_from_80_percent(spark):
 
 
 def test_mixing_meets_targets_of_small_sources_beside_a_huge_one(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCKS", 64)
     parts = {"b150": [150], "c300": [100] * 3, "d700": [7] * 100, "e2100": [700] * 3, "f1": [1], "g0": [0], "huge": [2000] * 100, "short": [1, 2, 3] * 500}
     rows = [(s, " ".join(["w"] * n)) for s, sizes in parts.items() for n in sizes]
     got = defaultdict(int)
