@@ -19,11 +19,15 @@ one anchor hash, and consecutive windows mostly share an anchor.
 5. Chunks gather the answers and cut their documents.
 
 Every row between the stages is a packed block, bounded by the chunk; a bucket holds about BUCKET_BYTES
-of text's anchors, and the number of buckets grows with the input up to MOST_BUCKETS.
+of text's anchors, and the number of buckets grows with the input. A chunk sends a row to each bucket that
+its anchors fall in, so rows are fewer than anchors at every size. An anchor that HOT_CHUNKS chunks have
+(a run of spaces) would bring its contexts from everywhere to one bucket: its windows go to buckets of
+their own instead, each as a context. Hashes only bring contexts together; that two are equal is decided
+on their bytes.
 
 Cases: null text is empty; documents shorter than `length` stay whole; matches never cross documents;
-rows that repeat an id don't remove from each other; a null id counts as larger than all others; an
-empty table gives no rows. Ids are integers. Only the named columns are read.
+rows that repeat an id don't remove from each other; a null id counts as the largest; an empty table gives
+no rows. Ids are integers. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -44,7 +48,10 @@ from spanveil.llm.textnum import _BASE, _BYTE, _INVERSE, U64, chunks, mix64, pow
 LENGTH = 50
 GRAM = 24
 BUCKET_BYTES = 24 << 20
-MOST_BUCKETS = 1 << 14
+#: Shuffle partitions at most; beyond, a partition holds several buckets, one after the other.
+MOST_PARTS = 100_000
+#: Chunks that have an anchor from which on its windows are sent one by one.
+HOT_CHUNKS = 4096
 #: Bits of an anchor hash that are sent besides the bucket. A bucket holds about 2 M of them, so one in
 #: two thousand is taken for another, at every size of the input.
 SENT_BITS = 32
@@ -59,20 +66,43 @@ def _deflate(*arrays: np.ndarray, level: int = 1) -> bytes:
 
 
 class Chunk:
-    """Documents' bytes, ids and offsets."""
+    """Documents' bytes, ids (and which are null) and offsets."""
 
-    def __init__(self, ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> None:
-        self.ids, self.raw, self.offsets = ids, raw, offsets
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> None:
+        self.ids, self.raw, self.offsets, self.null = ids, raw, offsets, null
 
     def pack(self) -> bytes:
-        return _deflate(np.array([len(self.ids)], np.int64), self.ids, self.offsets, self.raw, level=3)
+        return _deflate(np.array([len(self.ids)], np.int64), self.ids, self.offsets, self.null.astype(np.uint8), self.raw, level=3)
 
     @staticmethod
     def unpack(data: bytes) -> Chunk:
         flat = zstandard.ZstdDecompressor().decompress(data)
         n = int(np.frombuffer(flat, np.int64, 1)[0])
         head = np.frombuffer(flat, np.int64, 2 * n + 1, 8)
-        return Chunk(head[:n], np.frombuffer(flat, np.uint8, -1, 8 * (2 * n + 2)), head[n:])
+        at = 8 * (2 * n + 2)
+        return Chunk(head[:n], np.frombuffer(flat, np.uint8, -1, at + n), head[n:], np.frombuffer(flat, np.uint8, n, at).astype(bool))
+
+
+def lanes_of(raw: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, 8), (1, 1), writeable=False)
+
+
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def equal_bytes(lanes: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a on are those from b on, pair by pair."""
+    same = size_a == size_b
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        mask = _FIRST[np.minimum(size_a[live] - k, 8)]
+        x, y = (np.ascontiguousarray(lanes[at[live] + k]).view("<u8").ravel() & mask for at in (a, b))
+        same[live[x != y]] = False
+        k += 8
+        live = live[(x == y) & (size_a[live] > k)]
+    return same
 
 
 class Anchors:
@@ -125,12 +155,31 @@ class Anchors:
         np.maximum.at(high, which, self.doc)
         return distinct, which, low != high
 
+    def windows_alone(self, hot: np.ndarray) -> Anchors:
+        """These anchors, those that are hot replaced by an anchor for each of their windows."""
+        if not hot.any():
+            return self
+        out = Anchors.__new__(Anchors)
+        out.length, out.chunk, out.total = self.length, self.chunk, self.total
+        times = np.where(hot, self.count, 1)
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        out.first, out.doc = np.repeat(self.first, times) + step, np.repeat(self.doc, times)
+        out.count = np.repeat(np.where(hot, 1, self.count), times)
+        own = np.repeat(hot, times)
+        out.hash = np.repeat(self.hash, times)
+        out.hash[own] = mix64(out._hash(out.first[own], out.length) + U64(0x51ED270B))
+        return out
+
     def contexts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the anchors chosen (indexes): the first of each distinct context by document id, the context's number for each, and each one's document id."""
         ids = self.chunk.ids[self.doc[chosen]]
         same = self.hash[chosen] * U64(3) + self._hash(self.first[chosen], self.count[chosen] + self.length - 1) * U64(5) + self.count[chosen].astype(U64)
         order = np.lexsort((chosen, ids, same))
         new = np.concatenate([[True], np.diff(same[order]) != 0]) if len(order) else np.zeros(0, bool)
+        pair = np.flatnonzero(~new)
+        if len(pair):
+            x, y = chosen[order[pair - 1]], chosen[order[pair]]
+            new[pair] = ~equal_bytes(lanes_of(self.chunk.raw), self.first[x], self.first[y], self.count[x] + self.length - 1, self.count[y] + self.length - 1)
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
         # In order of place, so that ids and overlapping bytes compress.
@@ -142,7 +191,7 @@ class Anchors:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h & U64(0xFFFFF)) % U64(buckets)
+    return (h & U64(0xFFFFFFFF)) % U64(buckets)
 
 
 def _columns(names: str, *columns: pa.Array) -> pa.RecordBatch:
@@ -152,10 +201,11 @@ def _columns(names: str, *columns: pa.Array) -> pa.RecordBatch:
 def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rng = random.SystemRandom()
     for batch in batches:
+        null = batch.column("_id").is_null().to_numpy(zero_copy_only=False)
         ids = batch.column("_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         raw, offsets = text_bytes(batch.column("_t"))
         for a, b in chunks(offsets):
-            packed = Chunk(ids[a:b], raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).pack()
+            packed = Chunk(ids[a:b], raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], null[a:b]).pack()
             yield _columns("chunk data size", pa.array([rng.getrandbits(62)], pa.int64()), pa.array([packed], pa.binary()), pa.array([int(offsets[b] - offsets[a])], pa.int64()))
 
 
@@ -185,8 +235,8 @@ class RepeatRemover:
         rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
         self.chunks = stage(rows.mapInArrow(_to_chunks, "chunk long, data binary, size long"), "repeats-chunks", compression="none")
         size = self.chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        self.buckets = int(min(MOST_BUCKETS, max(8, size // BUCKET_BYTES)))
-        self.parts = max(self.buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = int(max(8, size // BUCKET_BYTES))
+        self.parts = min(MOST_PARTS, max(self.buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def _exchange(self, blocks: DataFrame) -> DataFrame:
         return blocks.repartition(self.parts, "bucket").sortWithinPartitions("bucket", "chunk")
@@ -197,7 +247,7 @@ class RepeatRemover:
         return base.join(packed, "chunk", "left")
 
     def shared_anchors(self) -> DataFrame:
-        buckets, length = self.buckets, self.length
+        buckets, length, hot_chunks = self.buckets, self.length, HOT_CHUNKS
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -221,22 +271,30 @@ class RepeatRemover:
                 twice[order[1:]] |= equal
                 twice[order[:-1]] |= equal
                 cut = np.cumsum([0, *(len(x) // (SENT_BITS // 8) for x in blocks)])
-                masks = [np.packbits(twice[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                # A chunk sends a hash once, so its count here is the number of chunks.
+                heads = np.concatenate([[0], np.flatnonzero(~equal) + 1])
+                often = np.empty(len(value), bool)
+                often[order] = np.repeat(np.diff(np.concatenate([heads, [len(value)]])) >= hot_chunks, np.diff(np.concatenate([heads, [len(value)]])))
+                masks = [np.packbits(twice[a:b]).tobytes() + (np.packbits(often[a:b]).tobytes() if often[a:b].any() else b"") for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield _columns("bucket chunk data", pa.array([bucket] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(masks, pa.binary()))
 
         sent = self.chunks.select("chunk", "data").mapInArrow(send, self.SCHEMA)
         return stage(self._exchange(sent).mapInArrow(answer, self.SCHEMA), "repeats-anchors")
 
     @staticmethod
-    def _chosen(anchors: Anchors, buckets: int, masks: list[dict] | None) -> np.ndarray:
-        """Indexes of the anchors that two documents have, here or elsewhere."""
+    def _chosen(anchors: Anchors, buckets: int, masks: list[dict] | None) -> tuple[Anchors, np.ndarray]:
+        """The anchors, hot ones window by window, and the indexes of those that two documents have, here or elsewhere."""
         distinct, which, here = anchors.sent(buckets)
         cut = np.searchsorted((distinct >> U64(SENT_BITS)).astype(np.int64), np.arange(buckets + 1))
-        shared = here.copy()
+        shared, hot = here.copy(), np.zeros(len(here), bool)
         for x in masks or []:
             a, b = cut[x["bucket"]], cut[x["bucket"] + 1]
-            shared[a:b] |= np.unpackbits(np.frombuffer(x["data"], np.uint8), count=b - a).astype(bool)
-        return np.flatnonzero(shared[which])
+            bits, size = np.frombuffer(x["data"], np.uint8), (b - a + 7) // 8
+            shared[a:b] |= np.unpackbits(bits[:size], count=b - a).astype(bool)
+            if len(bits) > size:
+                hot[a:b] |= np.unpackbits(bits[size:], count=b - a).astype(bool)
+        times = np.where(hot[which], anchors.count, 1)
+        return anchors.windows_alone(hot[which]), np.flatnonzero(np.repeat(shared[which], times))
 
     def repeated_windows(self, shared: DataFrame) -> DataFrame:
         buckets, length, chosen_of = self.buckets, self.length, self._chosen
@@ -245,7 +303,8 @@ class RepeatRemover:
             for batch in batches:
                 for chunk, data, masks in zip(*(batch.column(c).to_pylist() for c in ("chunk", "data", "masks")), strict=True):
                     anchors = Anchors(Chunk.unpack(data), length)
-                    kept, _, _ = anchors.contexts(chosen_of(anchors, buckets, masks))
+                    anchors, chosen = chosen_of(anchors, buckets, masks)
+                    kept, _, _ = anchors.contexts(chosen)
                     own = _bucket(anchors.hash[kept], buckets).astype(np.int64)
                     use, blocks = [], []
                     order = np.argsort(own, kind="stable")
@@ -282,7 +341,7 @@ class RepeatRemover:
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], removed[a:b].astype(np.int8), [0]])))
                         spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
                         texts.append(chunk.raw[a:b][~removed[a:b]].tobytes())
-                    own = pa.array(chunk.ids, pa.int64(), mask=chunk.ids == NULL_ID)
+                    own = pa.array(chunk.ids, pa.int64(), mask=chunk.null)
                     yield _columns("_id n_bytes spans kept", own, pa.array(np.diff(chunk.offsets), pa.int64()), pa.array(spans, span), pa.array(texts, pa.binary()))
 
         base = self._with(repeated, "windows", self._with(shared, "masks", self.chunks.select("chunk", "data")))
@@ -304,13 +363,19 @@ def judge_contexts(blocks: list[bytes], length: int) -> tuple[list[int], np.ndar
         raws.append(np.frombuffer(flat, np.uint8, -1, 8 + 13 * n))
         contents.append(_content(raws[-1], counts[-1], length))
         sizes.append(n)
-    h, doc, count, raw, content = (np.concatenate(x) for x in (hashes, ids, counts, raws, contents))
+    h, doc, count, raw, content = (np.concatenate(x) for x in (hashes, ids, counts, [*raws, np.zeros(8, np.uint8)], contents))
     del hashes, ids, counts, raws, contents
     size = count.astype(np.int64) + length - 1
     start = np.cumsum(size) - size
     order = np.lexsort((doc, content, h))
     new_anchor = np.concatenate([[True], np.diff(h[order]) != 0])
     new = new_anchor | np.concatenate([[True], np.diff(content[order]) != 0])
+    # Of equal hashes, bytes decide; contexts that differ after all go through the suffix array.
+    lanes = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1), writeable=False)
+    pair = np.flatnonzero(~new)
+    for a in range(0, len(pair), SORT_BYTES):
+        x, y = order[pair[a : a + SORT_BYTES] - 1], order[pair[a : a + SORT_BYTES]]
+        new[pair[a : a + SORT_BYTES]] = ~equal_bytes(lanes, start[x], start[y], size[x], size[y])
     context = np.cumsum(new) - 1
     head = order[new]
     anchor = (np.cumsum(new_anchor) - 1)[new]
@@ -379,7 +444,7 @@ def _least_ids(windows: np.ndarray, at: np.ndarray, mixed: np.ndarray, head: np.
 def removed_bytes(chunk: Chunk, length: int, buckets: int, chosen_of: object, masks: list[dict] | None, windows: list[dict] | None) -> np.ndarray:
     """Whether each byte of the chunk is removed."""
     anchors = Anchors(chunk, length)
-    chosen = chosen_of(anchors, buckets, masks)
+    anchors, chosen = chosen_of(anchors, buckets, masks)
     edge = np.zeros(len(chunk.raw) + 1, np.int64)
     if len(chosen):
         kept, which, ids = anchors.contexts(chosen)

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanveil.llm import chat, common, licences, minhash, mixing, pii, queries, suffix, textnum, warc
+from spanveil.llm import chat, common, licences, minhash, mixing, pii, queries, repeats, suffix, textnum, warc
 from spanveil.llm import decontaminate as decontaminate_module
 from spanveil.llm.decontaminate import PhraseIndex, decontaminate
 from spanveil.llm import exact_dedup as exact_dedup_module
@@ -376,15 +376,37 @@ def brute_removed(texts):
     return out
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot, collide):
+    """With anchors of any number of chunks taken as hot, and with hashes of contexts that all collide."""
     monkeypatch.setattr(textnum, "CHUNK_BYTES", 4000)
-    texts = corpus(6) + ["ab" * 100, "é" * 60, "é" * 60 + "z", "a" * 49, "a" * 50, "a" * 51]
+    monkeypatch.setattr(repeats, "HOT_CHUNKS", hot)
+    texts = corpus(6) + ["ab" * 100, "é" * 60, "é" * 60 + "z", "a" * 49, "a" * 50, "a" * 51] + [f"head{k} " + "-" * 70 + f" tail{k}" for k in range(40)]
     want = brute_removed(texts)
+    if collide:
+        monkeypatch.setattr(repeats, "_content", lambda raw, count, length: count.astype(np.uint64))
+        blocks = []
+        rng = random.Random(1)
+        pool = ["".join(rng.choice("ab") for _ in range(50)).encode() for _ in range(8)]
+        rows = [(rng.choice(pool), k) for k in range(40)]
+        raw = np.frombuffer(b"".join(t for t, _ in rows), np.uint8)
+        blocks.append(repeats._deflate(np.array([40], np.int64), np.zeros(40, np.uint32), np.arange(40, dtype=np.int64), np.ones(40, np.uint8), raw))
+        _, masks = repeats.judge_contexts(blocks, 50)
+        assert [bool(m) for m in masks] == [any(t == rows[j][0] for j in range(k)) for k, (t, _) in enumerate(rows)]
+        return
     for r in remove_repeats(frame(spark, texts).repartition(3)).collect():
         assert bytes(r.kept) == want[r.doc_id - 1]
         assert r.n_bytes - len(r.kept) == sum(s.end - s.start for s in r.spans)
 
 
+def test_repeats_largest_and_null_ids(spark):
+    text = "the same fifty bytes and some more of them, said again and again"
+    rows = spark.createDataFrame([(2**63 - 1, text), (None, text), (5, text), (None, text)], "doc_id long, text string")
+    got = sorted(((r.doc_id, len(r.kept)) for r in remove_repeats(rows).collect()), key=repr)
+    assert got == sorted([(2**63 - 1, 0), (None, 0), (5, len(text)), (None, 0)], key=repr)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(100):
