@@ -307,20 +307,20 @@ class NearPairs:
         return stage(met.mapInArrow(lambda batches: _stars(batches, percent), "a long, b long"), "minhash-stars")
 
     def rest(self, buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """buckets: _key, _id, _n. Rows of buckets whose members have different labels, buckets with equal members once: _key, _id, _n, _label, and _key, _sum, _members of these."""
+        """buckets: _key, _id, _n. Rows of buckets whose members have different labels, buckets with equal members once: _key, _id, _n, _label, and _key, _sum of these."""
         labelled = buckets.join(roots.select(F.col("node").alias("_id"), "root"), "_id", "left").select("_key", "_id", "_n", F.coalesce("root", "_id").alias("_label"))
         labelled = stage(labelled, "minhash-labelled")
         mark: Column = F.xxhash64("_id")
         mixed = labelled.groupBy("_key").agg(
             F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.count("*").alias("_members"), F.sum("_n").alias("_sum"), F.bit_xor(mark).alias("_x"), F.sum(mark.cast("decimal(38,0)")).alias("_y")
         ).filter("_low <> _high")
-        once = stage(mixed.groupBy("_members", "_sum", "_x", "_y").agg(F.min("_key").alias("_key")).select("_key", "_sum", "_members"), "minhash-mixed")
-        return join_hot(labelled, once, "_key", "_members", labelled.count(), "_id").select("_key", "_id", "_n", "_label"), once
+        once = stage(mixed.groupBy("_members", "_sum", "_x", "_y").agg(F.min("_key").alias("_key")).select("_key", "_sum"), "minhash-mixed")
+        return labelled.join(once, "_key").select("_key", "_id", "_n", "_label"), once
 
     def bucket_links(self, rows: DataFrame, sizes: DataFrame) -> DataFrame:
         """Links within buckets that join labels: a, b."""
         percent = self.percent
-        tiled = join_hot(rows, sizes, "_key", "_members", rows.count(), "_id").withColumn("_tiles", F.ceil(F.col("_sum") / TILE_SHINGLES).cast("int"))
+        tiled = rows.join(sizes, "_key").withColumn("_tiles", F.ceil(F.col("_sum") / TILE_SHINGLES).cast("int"))
         tiled = tiled.withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_tiles").cast("long")).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
         met = tiled.join(self.sets, "_id").select("_key", F.least("_tile", "_k").alias("_i"), F.greatest("_tile", "_k").alias("_j"), "_tile", "_id", "_label", "_s")
         met = met.repartition(self.parts, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", "_id")
@@ -355,10 +355,9 @@ class NearPairs:
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
     """keys: _key, _id, _n. Adds _first, the smallest id of the bucket; only rows of buckets with two ids."""
-    least = keys.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.count("*").alias("_count")).filter("_first <> _last").drop("_last")
-    least = stage(least, "minhash-shared")
-    rows = least.agg(F.coalesce(F.sum("_count"), F.lit(0))).first()[0]
-    return stage(join_hot(keys, least, "_key", "_count", rows, "_id").select("_key", "_id", "_n", "_first"), "minhash-buckets")
+    least = keys.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first <> _last").drop("_last")
+    # Keys, ids and sizes alone; a hot bucket's partition is split at run time, since it is the join's larger side.
+    return stage(keys.join(least, "_key").select("_key", "_id", "_n", "_first"), "minhash-buckets")
 
 
 @settled
