@@ -34,8 +34,19 @@ def entropy(value: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, x: a + x))
 
 
-#: What people write where a secret would stand. Whole value, lower case.
-PLACEHOLDER = r"^(changeme[0-9]*|your[_-].*|placeholder|hunter2|correct-horse-battery-staple|test|todo|password|passw0rd|p@ssw0rd|example|secret|none|null|true|false|x{3,}|\*{3,}|<.*>|\$\{.*\})$"
+#: What people write where a secret would stand, by family. Whole value, lower case.
+PLACEHOLDER_FAMILIES = (
+    r"(change|replace|fill|set)[_-]?(me|this|it|in)[0-9]*",  # requests to change it
+    r"(your|my|insert|enter|put|add)[_-].*",  # what should stand there
+    r"(placeholder|example|sample|dummy|test|todo|tbd|fixme|default|redacted|hidden|unset)",
+    r"(none|null|nil|true|false|undefined|yes|no)",
+    r"(secret|token|passwd|passw[o0]rd|p[a@4][s5$]{2}w[o0]rd)",  # the key's own name, letters swapped for look-alikes
+    r"[a-z]{3,7}[0-9]",  # a short word and a digit
+    r"[a-z]{3,9}([-_][a-z]{3,9}){2,}",  # plain words in a row
+    r"(x{3,}|\*{3,}|\.{3,}|-{3,}|0{4,}|1234(5(6(7(89?0?)?)?)?)?|abcd(ef?g?h?)?|qwerty)",  # one character, or a row of the keyboard
+    r"(<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)",  # a template's field
+)
+PLACEHOLDER = "^(" + "|".join(PLACEHOLDER_FAMILIES) + ")$"
 #: Addresses, URLs and connection strings, and sentences.
 SHAPES = (r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", r"^[A-Za-z][A-Za-z0-9+.-]*://", r"[!?]$")
 

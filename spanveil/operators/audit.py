@@ -35,12 +35,12 @@ def bound_lines(rows: DataFrame, limit: int = MAX_LINE) -> DataFrame:
     return rows.select(F.explode(F.when(line > limit, F.array(main, follow)).otherwise(F.array(F.struct(*KEYS)))).alias("e")).select("e.*")
 
 
-def append(rows: DataFrame, path: str) -> None:
+def append(rows: DataFrame, path: str, mode: str = "append") -> None:
     have = sanitise(rows)
     for c in KEYS:
         if c not in have.columns:
             have = have.withColumn(c, F.lit(None).cast("map<string,string>" if c == "context" else "string"))
-    bound_lines(have.select(*KEYS)).write.mode("append").json(path)
+    bound_lines(have.select(*KEYS)).write.mode(mode).json(path)
 
 
 def summary(log: DataFrame) -> DataFrame:

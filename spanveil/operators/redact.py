@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.spans import explode_rows, splice, value_at
 from spanveil.functions.tokens import format_token, slug, token_id, value_hash
+from spanveil.operators.detect import EngineConfig, detect
 
 REDACTED = "[REDACTED]"
 
@@ -56,6 +57,17 @@ def process_text(detected: DataFrame, actions: dict[str, str], text_col: str = "
     )
 
 
+def process_output(ran: DataFrame, actions: dict[str, str], config: EngineConfig | None = None, id_col: str = "cmd_id", salt: Column | None = None) -> DataFrame:
+    """ran: id, stdout, stderr of commands that ran elsewhere. id, stdout, stderr (redacted each by itself), blocked_rule: a block in either blanks both."""
+    both = ran
+    for name in ("stdout", "stderr"):
+        acted = with_actions(detect(both, config, name), actions, name, salt)
+        both = acted.withColumn(f"_{name}", output_text(F.coalesce(F.col(name), F.lit("")), F.col("acted"), F.lit(None))).withColumn(f"_{name}_blocked", F.col("blocked.rule_id")).drop("spans", "acted", "blocked")
+    rule = F.coalesce("_stdout_blocked", "_stderr_blocked")
+    shown = lambda name: F.when(rule.isNotNull(), F.lit("")).otherwise(F.col(f"_{name}")).alias(name)
+    return both.select(id_col, shown("stdout"), shown("stderr"), rule.alias("blocked_rule"))
+
+
 def redact_constant(text: Column, spans: Column, constant: str = REDACTED) -> Column:
     """Irreversible."""
     return splice(text, spans, lambda s, v: F.lit(constant))

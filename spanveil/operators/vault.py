@@ -5,24 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import explode_rows, splice
-from spanveil.functions.tokens import format_token, is_token, parse_tokens, slug, token_id, value_hash
+from spanveil.functions.spans import explode_rows, splice, value_at
+from spanveil.functions.tokens import TOKEN, format_token, is_token, parse_tokens, slug, token_id, value_hash
 
 
-def mint(values: DataFrame, salt: Column | None = None) -> DataFrame:
+def mint(values: DataFrame, salt: Column | None = None, vault: DataFrame | None = None) -> DataFrame:
     """values: value, rule_id, seen (what orders sightings). One token a distinct value, named by its first sighting.
 
-    One exchange, on the value's hash; first sightings are found by partial aggregation, so a value that
-    is everywhere costs a row a task. Ids that collide are lengthened."""
+    vault: tokens minted before; values that it holds get none, and its ids are taken. Only new rows are returned.
+    One exchange on the value; first sightings are found by partial aggregation, so a value that is
+    everywhere costs a row a task. Ids that collide are lengthened."""
     checked = values.withColumn("value", F.when(F.col("value") == "", F.raise_error(F.lit("an empty value can't have a token")).cast("string")).otherwise(F.col("value")))
     salted = salt if salt is not None else F.lit("")
     first = checked.groupBy("value").agg(F.min_by("rule_id", F.struct("seen", "rule_id")).alias("rule_id"), F.min("seen").alias("first_seen"), F.count("*").alias("sightings"))
-    short = first.withColumn("_id", token_id(F.col("value"), salted))
-    clashes = short.groupBy("_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("_id", F.lit(True).alias("_clash"))
-    ids = short.join(clashes, "_id", "left").withColumn("_id", F.when(F.col("_clash"), token_id(F.col("value"), salted, 64)).otherwise(F.col("_id")))
+    if vault is not None:
+        first = first.join(vault.select("value"), "value", "left_anti")
+    ids = first.withColumn("_id", token_id(F.col("value"), salted)).withColumn("_clash", F.count("*").over(Window.partitionBy("_id")) > 1)
+    if vault is not None:
+        taken = vault.select(F.regexp_extract("token", TOKEN, 2).alias("_id"), F.lit(True).alias("_taken")).distinct()
+        ids = ids.join(taken, "_id", "left").withColumn("_clash", F.col("_clash") | F.coalesce("_taken", F.lit(False)))
+    ids = ids.withColumn("_id", F.when(F.col("_clash"), token_id(F.col("value"), salted, 64)).otherwise(F.col("_id")))
     return ids.select(format_token(slug(F.col("rule_id")), F.col("_id")).alias("token"), "value", value_hash(F.col("value")).alias("value_hash"), "rule_id", "first_seen", "sightings")
 
 
+def tokenise(detected: DataFrame, vault: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and output: each span of detected replaced by the token that vault has for its value, whichever rule found it here.
+
+    Only spans shuffle on their values; a text shuffles on its id, and only if it has a span. A value that vault lacks is an error."""
+    rows = detected.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t"), "spans")
+    plain = rows.filter(F.size("spans") == 0).select(id_col, F.col("_t").alias("output"))
+    rows = rows.filter(F.size("spans") > 0)
+    found = explode_rows(rows, "spans", "s", id_col, "_t").select(id_col, F.col("s.start").alias("start"), F.col("s.end").alias("end"), value_at(F.col("_t"), F.col("s")).alias("value"))
+    named = found.join(vault.select("value", "token"), "value", "left")
+    token = F.coalesce("token", F.raise_error(F.lit("a value without a token")).cast("string"))
+    tokens = named.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", token.alias("v")))).alias("_s"))
+    done = rows.select(id_col, "_t").join(tokens, id_col)
+    return done.select(id_col, splice(F.col("_t"), F.col("_s"), lambda s, _: s["v"]).alias("output")).unionByName(plain)
+
+
 def resolve(tokens: DataFrame, vault: DataFrame) -> DataFrame:
     """tokens: raw. Adds value, null where the vault lacks it."""
     return tokens.join(vault.select(F.col("token").alias("raw"), "value"), "raw", "left")
@@ -89,6 +109,30 @@ def wipe(vault: DataFrame, path: str) -> None:
     vault.limit(0).write.mode("overwrite").parquet(path)
 
 
-def by_recency(vault: DataFrame, used: str = "last_used") -> Column:
-    """Rank by last use within a slug: what a per-slug cap would compare."""
-    return F.row_number().over(Window.partitionBy("slug").orderBy(F.desc(used), "token"))
+#: A string of JSON text; a colon after it makes it a key.
+JSON_STRING = r'"(?:[^"\\]|\\.)*":?'
+
+
+def restore_json(requests: DataFrame, vault: DataFrame, id_col: str = "doc_id", col: str = "payload") -> DataFrame:
+    """id, output, missing (the first three, sorted), n_tokens, decision: known tokens in the string leaves of JSON, at any depth, replaced by their values.
+
+    Keys stay. A request with any unknown token is denied as it is, and one that is no JSON, or null, too. Values are
+    escaped as JSON asks, and replaced once: a value that looks like a token stays."""
+    given = requests.select(id_col, F.col(col).alias("_raw"), F.to_json(F.try_parse_json(col)).alias("_j"))
+    strings = F.regexp_extract_all("_j", F.lit(JSON_STRING), F.lit(0))
+    cut = given.filter("_j is not null").select(id_col, "_raw", "_j", strings.alias("_strings"), F.split("_j", JSON_STRING, -1).alias("_between"))
+    leaves = F.array_join(F.filter("_strings", lambda s: ~s.endswith(":")), " ")
+    seen = cut.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(leaves, F.lit(TOKEN), F.lit(0)))).alias("raw"))
+    inner = F.to_json(F.struct(F.col("value").alias("v")))
+    known = resolve(seen, vault).groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("raw", F.substring(inner, F.lit(7), F.length(inner) - 8))))).alias("_known"),
+        F.slice(F.array_sort(F.collect_set(F.when(F.col("value").isNull(), F.col("raw")))), 1, 3).alias("missing"), F.count("*").alias("n_tokens"),
+    )
+    rows = cut.join(known, id_col, "left")
+    filled = F.transform("_strings", lambda s: F.when(s.endswith(":"), s).otherwise(splice(s, parse_tokens(s), lambda _, v: F.element_at("_known", v))))
+    whole = F.concat(F.array_join(F.zip_with(F.slice("_between", F.lit(1), F.size("_strings")), filled, lambda a, b: F.concat(a, b)), ""), F.element_at("_between", -1))
+    none = F.array().cast("array<string>")
+    ok = rows.select(id_col, F.when(F.col("n_tokens").isNull() | (F.size("missing") > 0), F.col("_raw")).otherwise(whole).alias("output"), F.coalesce("missing", none).alias("missing"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    ok = ok.withColumn("decision", F.when(F.size("missing") > 0, "deny").otherwise("allow"))
+    bad = given.filter("_j is null").select(id_col, F.col("_raw").alias("output"), none.alias("missing"), F.lit(0).cast("long").alias("n_tokens"), F.lit("deny").alias("decision"))
+    return ok.unionByName(bad)

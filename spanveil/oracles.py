@@ -176,6 +176,8 @@ SELECT {TOKEN_SQL} AS token, value, sha256(value) AS value_hash, rule_id, first_
     "token_restore": f"WITH {RESTORED} SELECT doc_id, coalesce(output, text) AS output, coalesce(n, 0) AS n_tokens, CASE WHEN coalesce(lost, 0) > 0 THEN 'deny' ELSE 'allow' END AS decision FROM {values('tokenised')} LEFT JOIN t USING (doc_id)",
     "token_missing_deny": f"WITH {RESTORED} SELECT doc_id, array_to_string(missing, ',') AS missing FROM t WHERE lost > 0",
     "round_trip": "SELECT doc_id, sha256(text) AS restored_sha256 FROM documents",
+    "mint_incremental": f"""WITH f AS (SELECT value, arg_min(rule_id, seen) AS rule_id FROM {values("sightings")} WHERE value NOT IN (SELECT value FROM {values("vault")}) GROUP BY value)
+SELECT token, value, rule_id FROM {values("vault")} UNION ALL SELECT {TOKEN_SQL} AS token, value, rule_id FROM f""",
     "vault_rotate": f"WITH {ROTATED} SELECT token, value, sha256(value) AS value_hash FROM v",
     "vault_owners": f"WITH {ROTATED} SELECT sha256(value) AS value_hash, arg_min(token, first_seen) AS token FROM v GROUP BY value",
     "vault_lru_evict": f"SELECT token, row_number() OVER (ORDER BY last_used DESC, token DESC) > 3 AS evicted FROM {values('vault')}",
@@ -186,7 +188,7 @@ SELECT {TOKEN_SQL} AS token, value, sha256(value) AS value_hash, rule_id, first_
     "line_numbers": f'WITH {valued(PII)} SELECT doc_id, "start", {LINE_NO} AS line FROM x',
     "rule_summary": f"WITH {valued(PII)}, n AS (SELECT doc_id, rule_id, {LINE_NO} AS line FROM x) SELECT doc_id, rule_id, count(*) AS count, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines FROM n GROUP BY doc_id, rule_id",
     "chunk_scan_dedup": f'WITH {merged(CHUNK_SPANS)} SELECT doc_id, "start"::INTEGER AS "start", "end"::INTEGER AS "end", rule_id FROM m',
-    "allowlist_anti": f"""WITH {valued(PII)} SELECT doc_id, "start", value FROM x WHERE value NOT IN (SELECT unnest(regexp_extract_all(text, {dialect(PII_RULES[0].pattern)}, 0)) FROM documents WHERE doc_id % 2 = 0)""",
+    "allowlist_anti": f"""WITH {valued(PII)} SELECT doc_id, "start", value FROM x WHERE NOT regexp_matches(value, {text_literal(q.ALLOWED_VALUES)})""",
     "env_key_parse": f"""SELECT DISTINCT key FROM (SELECT regexp_extract(line, '^(?:export\\s+)?([A-Za-z_][A-Za-z0-9_]*)\\s*=', 1) AS key FROM (SELECT trim(unnest(regexp_split_to_array(text, '\\r?\\n'))) AS line FROM {values("env_files")}) WHERE line <> '' AND NOT starts_with(line, '#')) WHERE key <> ''""",
     "tuned_spans": f"WITH {TUNED} SELECT doc_id, rule_id, \"start\", \"end\", substr(text, \"start\" + 1, \"end\" - \"start\") AS value FROM m JOIN {values('tuned_texts')} USING (doc_id)",
     "naive_scan": f'SELECT doc_id, "start", "end" FROM ({rule_spans(DOCS, q.NAIVE, 0)})',
@@ -206,7 +208,8 @@ FROM (SELECT o_orderpriority, list(o_totalprice::DOUBLE ORDER BY o_totalprice) A
     "guard_regex_fallback": f"SELECT command, CASE WHEN rule_id IS NULL THEN 'allow' ELSE 'deny' END AS decision, rule_id FROM (SELECT command, {screened()} AS rule_id FROM {values('commands')})",
     "doctor_missing_rules": f"SELECT rule FROM {values('required')} EXCEPT SELECT rule FROM {values('present')}",
     "size_routing": "SELECT doc_id, CASE WHEN strlen(text) > 5000 THEN 'summary' ELSE 'content' END AS kind FROM documents",
-    "byte_slice": "SELECT doc_id, substr(text, 101, 80) AS slice FROM documents WHERE strlen(text) = length(text)",
+    "byte_slice": r"""WITH s AS (SELECT doc_id, substr(lower(hex(encode(text))), 201, 160) AS slice_hex FROM documents)
+SELECT doc_id, slice_hex, len(regexp_extract_all(regexp_replace(slice_hex, '(..)', '\1 ', 'g'), '([0-7]. )|([cd]. [89ab]. )|(e. [89ab]. [89ab]. )|(f. [89ab]. [89ab]. [89ab]. )')) AS n_whole FROM s""",
     "binary_filter": f"SELECT doc_id FROM {values('blobs')} WHERE NOT regexp_matches(substr(hex, 1, 16384), '^(..)*?00')",
     "ignore_prune": f"SELECT path FROM {values('paths')} WHERE NOT {ignored()}",
     "request_parse": f"""SELECT doc_id, CASE WHEN json_valid(payload) THEN payload ->> '$.tool_name' END AS tool, CASE WHEN json_valid(payload) THEN payload ->> '$.tool_input.command' END AS command, CASE WHEN json_valid(payload) THEN 'allow' ELSE 'deny' END AS decision FROM {values("requests")}""",

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir; in a folder of our own only where that is unset."""
+    """A fresh path in spark.checkpoint.dir; only a local session without one gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spanveil-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/spanveil/{name}-{uuid.uuid4().hex}"
@@ -22,3 +24,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if its files come in fewer than two splits a core: small tables are one row group, hence one task's work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)

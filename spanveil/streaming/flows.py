@@ -22,13 +22,13 @@ def redact_stream(docs: DataFrame, actions: dict[str, str], config: EngineConfig
 
 
 def redact_and_audit(docs: DataFrame, actions: dict[str, str], out_path: str, audit_path: str, config: EngineConfig | None = None) -> DataStreamWriter:
-    """Writes outputs by batch number, so that a batch that is run again replaces itself, and appends audit rows."""
+    """Writes outputs by batch number, so that a batch that is run again replaces itself, outputs and audit rows alike."""
 
     def each(batch: DataFrame, number: int) -> None:
         acted = with_actions(detect(batch, config), actions).persist()
         text = output_text(F.coalesce(F.col("text"), F.lit("")), F.col("acted"), F.col("blocked"))
         acted.select("doc_id", text.alias("output")).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        append(audit_rows(acted), audit_path)
+        append(audit_rows(acted), f"{audit_path}/batch={number}", "overwrite")
         acted.unpersist()
 
     return docs.writeStream.foreachBatch(each)
