@@ -69,6 +69,11 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "sightings": ("value string, rule_id string, seen long", [("value-two", "pii-email", 9), ("fresh@example.org", "pii-email", 3), ("fresh@example.org", "tuned-custom:x", 2), ("other-new", "pii-phone", 5), ("a@example.com", "pii-card", 1)]),
     "outputs": ("cmd_id long, stdout string, stderr string", [(1, "mail a@b.example ok", "warn: c@d.example"), (2, "token = gZ4-kW7.pQ2_vM9", "mail a@b.example"), (3, "fine", "password = gZ4-kW7.pQ2_vM9"), (4, None, ""), (5, "nothing", "to see")]),
     "tool_inputs": ("doc_id long, payload string", [(1, '{"path":"x","edits":[{"old":"' + T[0] + '","n":1},"two ' + T[1] + ' and ' + T[1] + '"]}'), (2, '{"a":{"b":["' + format_token_local("gone", "ffff") + '"]}}'), (3, '{"' + T[0] + '":"key stays"}'), (4, "{broken"), (5, '"' + T[2] + '"'), (6, '{"n":1.5,"t":true,"z":null,"e":""}'), (7, None)]),
+    "scenarios": ("name string, original string, find string, replacement string, expected string, secrets string", [
+        ("raise replicas", "replicas: 2\nkey: AKIA" + "M3NQ7XPLZ2RTVB5K\n", "replicas: 2", "replicas: 5", "replicas: 5\nkey: AKIA" + "M3NQ7XPLZ2RTVB5K\n", "AKIA" + "M3NQ7XPLZ2RTVB5K"),
+        ("rename caller", "dial(o)\npassword = Wq8zLr4TnX2v\ndial(p)\nmail ops@site.example\n", "dial(", "open(", "open(o)\npassword = Wq8zLr4TnX2v\nopen(p)\nmail ops@site.example\n", "Wq8zLr4TnX2v|ops@site.example"),
+        ("no secret", "a = 1\n", "1", "2", "a = 2\n", ""),
+    ]),
     "required": ("rule string", [("Read(.env)",), ("Read(**/*.pem)",), ("Bash(env)",)]),
     "present": ("rule string", [("Read(.env)",), ("Other",)]),
     "blobs": ("doc_id long, hex string", [(1, "68656c6c6f"), (2, "680065"), (3, ""), (4, "61" * 8192 + "00"), (5, "61" * 8191 + "00")]),

@@ -72,6 +72,19 @@ def rotate(vault: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.withColumn("value", new).withColumn("value_hash", value_hash(F.col("value"))).select(*vault.columns)
 
 
+def rotation_audit(vault: DataFrame, updates: DataFrame, tool: str = "rotate") -> DataFrame:
+    """An audit row for each token that updates changes: hashes of the new and the old value, cut to 12 digits, and no value."""
+    short = lambda c: F.substring(value_hash(F.col(c)), 1, 12)
+    return vault.join(updates, "token").select(
+        F.lit("vault-rotate").alias("ruleId"), F.lit(tool).alias("tool"), F.lit("rewrite").alias("action"), F.col("token").alias("tokenRef"), short("new_value").alias("valueHash"), F.create_map(F.lit("previousValueHash"), short("value")).alias("context")
+    )
+
+
+def eviction_audit(marked: DataFrame, tool: str = "read") -> DataFrame:
+    """marked: see evict. An audit row for each token that was dropped."""
+    return marked.filter("evicted").select(F.lit("vault-evict").alias("ruleId"), F.lit(tool).alias("tool"), F.lit("evict").alias("action"), F.col("token").alias("tokenRef"), F.create_map(F.lit("reason"), F.lit("lru-cap")).alias("context"))
+
+
 def owners(vault: DataFrame) -> DataFrame:
     """value_hash, token: where two tokens hold a value, the older one answers for it."""
     return vault.groupBy("value_hash").agg(F.min_by("token", F.struct("first_seen", "token")).alias("token"))

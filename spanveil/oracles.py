@@ -147,6 +147,10 @@ P_, R_ = scalar("tp", "tp + fp"), scalar("tp", "tp + fn")
 TUNED = detected(values("tuned_texts"), q.TUNED.rules())
 RULES = detected(values("rule_texts"), tuple(SECRET_RULES))
 LOG = values("log")
+#: The secrets of a scenario are stated beside it, so hiding them needs no detection here.
+HIDDEN = f"""v AS (SELECT *, replace(original, find, replacement) AS edited, replace(replace(replace(original, split_part(secrets, '|', 1), 'HIDDEN'), split_part(secrets, '|', 2), 'HIDDEN'), find, replacement) AS masked FROM {values("scenarios")}),
+survived AS (SELECT name AS scenario, 'token' AS config, true AS completed, edited = expected AS byte_correct, true AS no_leak FROM v UNION ALL SELECT name, 'constant', true, masked = expected, true FROM v
+UNION ALL SELECT name, 'open', true, edited = expected, secrets = '' FROM v UNION ALL SELECT name, 'denied', false, true, true FROM v)"""
 DEFAULT = merge_policy(None)["actions"]
 GREP_SOURCE = f"(SELECT doc_id * 1000000 + line AS doc_id, text FROM {LINES} WHERE regexp_matches(text, '{q.GREP}'))"
 CHUNKS = """(SELECT doc_id * 100000000 + c AS doc_id, substr(text, c + 1, 4096) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 128 - 1, 0) + 1, 4096 - 128)) AS c FROM documents))"""
@@ -207,6 +211,21 @@ FROM (SELECT o_orderpriority, list(o_totalprice::DOUBLE ORDER BY o_totalprice) A
     "throughput": f"SELECT runner, round(CASE WHEN bytes > 0 AND ms > 0 THEN bytes / 1048576.0::DOUBLE / (ms / 1000) ELSE 0 END, 6) AS mb_s FROM {values('runs')}",
     "guard_regex_fallback": f"SELECT command, CASE WHEN rule_id IS NULL THEN 'allow' ELSE 'deny' END AS decision, rule_id FROM (SELECT command, {screened()} AS rule_id FROM {values('commands')})",
     "doctor_missing_rules": f"SELECT rule FROM {values('required')} EXCEPT SELECT rule FROM {values('present')}",
+    "survivability": f"WITH {HIDDEN} SELECT * FROM survived",
+    "survival_by_config": f"WITH {HIDDEN} SELECT config, count(*) AS total, count(*) FILTER (completed AND byte_correct AND no_leak) AS all_three FROM survived GROUP BY config",
+    "health_check": f"""WITH g AS (SELECT string_agg(rule, ', ' ORDER BY rule) AS gone FROM (SELECT rule FROM {values('required')} EXCEPT SELECT rule FROM {values('present')}))
+SELECT 'rules' AS name, CASE WHEN gone IS NULL THEN 'pass' ELSE 'fail' END AS status, coalesce('missing: ' || gone, 'all rules present') AS detail FROM g
+UNION ALL SELECT 'vault', CASE WHEN count(*) >= 4.5 THEN 'warn' ELSE 'pass' END, count(*) || ' of 5' FROM {values('vault')}
+UNION ALL VALUES ('policy', 'pass', 'version 1'), ('steps', 'fail', 'missing: wipe'), ('recogniser', 'warn', 'doesn''t answer: names aren''t found')""",
+    "status_report": f"""SELECT part, item, value FROM (VALUES ('policy', 'version', '1'), ('policy', 'fail_closed', 'true'), ('detection', 'secrets', 'true'), ('detection', 'fast_pii', 'true'), ('detection', 'ner', 'false'),
+('action', 'secrets', 'redact'), ('action', 'pii_customer', 'redact'), ('action', 'pii_internal', 'alert'), ('action', 'internal_hostnames', 'redact'), ('tune', 'env_keys_from', '1'), ('tune', 'internal_domains', '0'), ('tune', 'custom_patterns', '0')) AS t(part, item, value)
+UNION ALL SELECT 'vault', 'entries', count(*)::VARCHAR FROM {values('vault')} UNION ALL SELECT 'vault', 'created', min(first_seen)::VARCHAR FROM {values('vault')}
+UNION ALL SELECT 'audit', a.action, count(l.action)::VARCHAR FROM (SELECT unnest({list(audit.ACTIONS)}) AS action) a LEFT JOIN {LOG} l USING (action) GROUP BY a.action UNION ALL SELECT 'audit', 'total', count(*)::VARCHAR FROM {LOG}""",
+    "score_report": f"""WITH RECURSIVE {OUTCOMES}, s AS (SELECT runner, coalesce(class, 'overall') AS class, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn
+FROM o WHERE class IN (SELECT class FROM known) GROUP BY ROLLUP (runner, class) HAVING runner IS NOT NULL), r AS (SELECT *, {P_} AS p, {R_} AS r FROM s)
+SELECT runner, class, '| ' || concat_ws(' | ', runner, class, tp, fp, fn, printf('%.1f%%', 100.0::DOUBLE * p), printf('%.1f%%', 100.0::DOUBLE * r), printf('%.1f%%', 100.0::DOUBLE * ({scalar("2 * p * r", "p + r")}))) || ' |' AS line FROM r""",
+    "vault_audit": f"""SELECT 'rewrite' AS action, token, substr(sha256(new_value), 1, 12) AS hash, substr(sha256(value), 1, 12) AS context FROM {values('vault')} JOIN {values('rotations')} USING (token)
+UNION ALL SELECT 'evict', token, NULL, 'lru-cap' FROM (SELECT token, row_number() OVER (ORDER BY last_used DESC, token DESC) AS n FROM {values('vault')}) WHERE n > 3""",
     "size_routing": "SELECT doc_id, CASE WHEN strlen(text) > 5000 THEN 'summary' ELSE 'content' END AS kind FROM documents",
     "byte_slice": r"""WITH s AS (SELECT doc_id, substr(lower(hex(encode(text))), 201, 160) AS slice_hex FROM documents)
 SELECT doc_id, slice_hex, len(regexp_extract_all(regexp_replace(slice_hex, '(..)', '\1 ', 'g'), '([0-7]. )|([cd]. [89ab]. )|(e. [89ab]. [89ab]. )|(f. [89ab]. [89ab]. [89ab]. )')) AS n_whole FROM s""",

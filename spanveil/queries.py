@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from spanveil import fixtures as fx
 from spanveil.functions import checks, tokens
 from spanveil.functions.spans import explode_rows, line_number, merge_spans
-from spanveil.operators import audit, chunks, commands, detect, redact, scoring, search, vault
+from spanveil.operators import audit, chunks, commands, detect, redact, scoring, search, status, survival, vault
 from spanveil.operators.detect import EngineConfig
 from spanveil.operators.rules import PII_RULES, SECRET_RULES, Rule
 from spanveil.plans.policy import merge_policy
-from spanveil.sources import corpus, files
+from spanveil.sources import corpus, files, report
 from spanveil.sources.tables import dealt, shared_path, written
 from spanveil.streaming import flows
 
@@ -275,6 +275,39 @@ def doctor(spark: SparkSession, sf: str) -> DataFrame:
     return fx.frame(spark, "required").join(fx.frame(spark, "present"), "rule", "left_anti")
 
 
+def health_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A vault of cap 5 that is nearly full, one step that isn't registered."""
+    policy = merge_policy({"vault": {"max_entries": 5}, "detection": {"ner": True}})
+    return status.health(policy, fx.frame(spark, "vault"), fx.frame(spark, "required"), fx.frame(spark, "present"), {"restore", "screen"})
+
+
+def status_report(spark: SparkSession, sf: str) -> DataFrame:
+    return status.status(merge_policy(None), fx.frame(spark, "vault"), fx.frame(spark, "log"))
+
+
+def _survived(spark: SparkSession) -> DataFrame:
+    return survival.survival(fx.frame(spark, "scenarios").withColumn("secrets", F.split("secrets", "[|]")), FULL)
+
+
+def survivability(spark: SparkSession, sf: str) -> DataFrame:
+    return _survived(spark)
+
+
+def survival_by_config(spark: SparkSession, sf: str) -> DataFrame:
+    return survival.by_config(_survived(spark))
+
+
+def score_report(spark: SparkSession, sf: str) -> DataFrame:
+    return report.score_lines(scoring.scores(_outcomes(spark)))
+
+
+def vault_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit rows of rotation and eviction, contexts as text."""
+    store = fx.frame(spark, "vault")
+    rows = vault.rotation_audit(store, fx.frame(spark, "rotations")).unionByName(vault.eviction_audit(vault.evict(store, 3)), allowMissingColumns=True)
+    return rows.select(F.col("action"), F.col("tokenRef").alias("token"), F.col("valueHash").alias("hash"), F.concat_ws(",", F.map_values("context")).alias("context"))
+
+
 def size_routing(spark: SparkSession, sf: str) -> DataFrame:
     return files.route_by_size(docs(spark, sf), 5000).select("doc_id", "kind")
 
@@ -366,5 +399,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_candidates": score_candidates, "score_benign_semi": score_benign, "score_fn_anti": score_fn, "score_rollup": score_rollup, "score_rates": score_rates, "percentile_nearest_rank": percentiles,
     "throughput": throughput, "guard_regex_fallback": guard_fallback, "bash_guard": guard, "doctor_missing_rules": doctor, "size_routing": size_routing, "byte_slice": byte_slice, "byte_slice_all": byte_slice_all,
     "binary_filter": binary_filter, "ignore_prune": ignore_prune, "request_parse": requests, "report_offsets": report_offsets, "ner_merge": ner_merge, "ner_plugin": ner_plugin,
+    "health_check": health_check, "status_report": status_report, "survivability": survivability, "survival_by_config": survival_by_config, "score_report": score_report, "vault_audit": vault_audit,
     "aes_roundtrip": aes_roundtrip, "corpus_scores": corpus_scores, "streaming_redact": streaming_redact,
 }

@@ -11,11 +11,11 @@ from spanveil import fixtures as fx
 from spanveil import queries
 from spanveil.functions import checks, tokens
 from spanveil.functions.spans import merge_spans
-from spanveil.operators import audit, chunks, commands, redact, scoring, search, vault
+from spanveil.operators import audit, chunks, commands, redact, scoring, search, status, survival, vault
 from spanveil.operators.detect import EngineConfig, detect, explode_spans, ner_spans
 from spanveil.operators.rules import PII_RULES, SECRET_RULES, Rule, lint
 from spanveil.plans.policy import PolicyError, engine_config, load_policy, merge_policy
-from spanveil.sources import corpus, files
+from spanveil.sources import corpus, files, report
 from spanveil.streaming import flows
 
 ACTIONS = merge_policy(None)["actions"]
@@ -269,3 +269,27 @@ def test_output_of_commands(spark):
     assert got[1].stdout.startswith("mail ⟦veil:pii-email:") and got[1].stderr.startswith("warn: ⟦veil:pii-email:") and got[1].blocked_rule is None
     assert all((got[k].stdout, got[k].stderr, got[k].blocked_rule) == ("", "", "generic-credential-assignment") for k in (2, 3))
     assert (got[4].stdout, got[4].stderr) == ("", "") and (got[5].stdout, got[5].stderr) == ("nothing", "to see")
+
+
+def test_health_levels(spark):
+    policy, store, none = merge_policy({"vault": {"max_entries": 0}}), fx.frame(spark, "vault"), fx.frame(spark, "present").limit(0)
+    of = lambda *a, **k: {r.name: r.status for r in status.health(*a, **k).collect()}
+    assert of(policy, store, none, none, status.STEPS) == {"rules": "pass", "policy": "pass", "vault": "pass", "steps": "pass"}
+    lost = status.health(policy, store.limit(0), none, None)
+    assert {r.name: r.status for r in lost.collect()} == {"rules": "fail", "policy": "pass", "vault": "pass", "steps": "warn"}
+    assert not status.healthy(lost).first().ok
+    wanted = merge_policy({"detection": {"ner": True}, "vault": {"max_entries": 6}})
+    assert of(wanted, store, none, none, status.STEPS, True) == {"rules": "pass", "policy": "pass", "vault": "pass", "steps": "pass", "recogniser": "pass"}
+
+
+def test_reports(spark, tmp_path):
+    found = fx.frame(spark, "detections").withColumn("rule_id", F.lit("r"))
+    report.write_detections(found, str(tmp_path / "found"))
+    assert spark.read.json(str(tmp_path / "found")).count() == found.count()
+    scored = scoring.scores(scoring.outcomes(fx.frame(spark, "detections"), fx.frame(spark, "labels")))
+    lived = survival.survival(fx.frame(spark, "scenarios").withColumn("secrets", F.split("secrets", "[|]")))
+    text = report.render(scored, lived)
+    assert text.count("\n| ") == scored.count() + 12 + 2 * 2 and "| no secret | open | ✓ | ✓ | ✓ |" in text
+    assert {r.config: r.all_three for r in survival.by_config(lived).collect()} == {"token": 3, "constant": 1, "open": 1, "denied": 0}
+    empty = survival.survival(spark.createDataFrame([("x", None, "a", "b", "", [])], "name string, original string, find string, replacement string, expected string, secrets array<string>"))
+    assert {r.config: r.byte_correct for r in empty.collect()} == dict.fromkeys(survival.CONFIGS, True)
