@@ -16,7 +16,7 @@ from spanveil.operators.detect import EngineConfig
 from spanveil.operators.rules import PII_RULES, SECRET_RULES, Rule
 from spanveil.plans.policy import merge_policy
 from spanveil.sources import corpus, files, report
-from spanveil.sources.tables import dealt, shared_path, written
+from spanveil.sources.tables import dealt, shared_path, streamed, written
 from spanveil.streaming import flows
 
 ACTIONS = merge_policy(None)["actions"]
@@ -379,10 +379,7 @@ def corpus_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def streaming_redact(spark: SparkSession, sf: str) -> DataFrame:
     """documents as a stream of files through the same functions."""
-    from pyspark.sql.types import StructType
-
-    schema: StructType = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    stream = streamed(spark, sf, "documents.parquet")
     path = shared_path(spark, "stream")
     query = flows.redact_stream(stream, ACTIONS, PII).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -26,6 +26,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table folder/name as a stream of files, be it one file or a folder of them.
+
+    A stream's path must be a folder or a pattern: this pattern matches the table alone, in either form. Partition
+    values are read from the paths below basePath."""
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    return spark.readStream.schema(schema).option("basePath", folder).parquet(f"{folder}/{{{name}}}")
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """df, dealt over all cores if its files come in fewer than two splits a core: small tables are one row group, hence one task's work."""
     cores = df.sparkSession.sparkContext.defaultParallelism

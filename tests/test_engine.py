@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -220,6 +221,28 @@ def test_streams(spark, tmp_path):
     assert sorted(r.token for r in spark.table("gone").collect()) == ["t0", "t1", "t2"]
 
 
+@pytest.mark.parametrize("form", ["file", "folder", "partitions", "empty"])
+def test_stream_of_any_form_of_documents(spark, tmp_path, form):
+    """One file, a folder of files of many ages, and one of partitions; tables of other names, or elsewhere, aren't read."""
+    sf = tmp_path / "sf=1"
+    rows = [(k, None if k == 3 else f"mail a{k}@b.example now", f"s {k % 2}") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    other = spark.createDataFrame([(99, "z@b.example", "s 9")], docs.schema).coalesce(1)
+    other.write.parquet(str(sf / "older/documents.parquet"))
+    other.write.parquet(str(sf / "documents.parquet.bak"))
+    if form == "file":
+        docs.coalesce(1).write.parquet(str(tmp_path / "made"))
+        next((tmp_path / "made").glob("part-*")).rename(sf / "documents.parquet")
+    else:
+        parts = (docs.filter("doc_id < 0") if form == "empty" else docs).repartition(4).write
+        (parts.partitionBy("source") if form == "partitions" else parts).parquet(str(sf / "documents.parquet"))
+        for k, file in enumerate(sorted((sf / "documents.parquet").rglob("part-*"))):
+            os.utime(file, (1e9 + k * 1e7,) * 2)
+    got, want = (queries.QUERIES[q](spark, str(sf)).select("doc_id", "n_spans", "output").collect() for q in ("streaming_redact", "redact_text"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert len(got) == (0 if form == "empty" else 8) and sum(r.n_spans for r in got) == (0 if form == "empty" else 7)
+
+
 def test_entropy_of_empty(spark):
     assert spark.range(1).select(checks.entropy(F.lit(""))).first()[0] == 0.0
 
